@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import simhash
+from dupeplan.llm import quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn_rules(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
