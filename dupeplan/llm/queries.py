@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import quality, simhash
+from dupeplan.llm import license, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase places and license labels of every document."""
+    starts = F.transform("places", lambda x: x["start"])
+    return license.labels(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", "more")), ",").alias("labels"),
+        "score",
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,5 +40,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
