@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import license, quality, simhash
+from dupeplan.llm import license, quality, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier 100-byte string covers."""
+    found = substrings.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {}
