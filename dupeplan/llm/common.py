@@ -154,3 +154,24 @@ def shard_bounds(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
     edges = [(i << 64) // shards for i in range(1, shards)]
     inner = np.searchsorted(sorted_keys, np.array(edges, np.uint64), "left") if edges else np.zeros(0, np.int64)
     return np.concatenate([[0], inner, [len(sorted_keys)]]).astype(np.int64)
+
+
+#: Byte tables: A-Z lower-cased; and besides, ASCII bytes other than letters and digits made spaces.
+LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LETTERS = bytes(LOWERED[b] if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words_of(column: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, word numbers of all texts in a row, where each text's words begin): texts cut at ASCII white space."""
+    pc = pa.compute
+    offsets, data = buffers(column)
+    changed = data.tobytes().translate(table)
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(changed))
+    lists = pc.ascii_split_whitespace(texts)
+    found = lists.flatten()
+    full = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    if not full.all():
+        found = found.filter(pa.array(full))
+    coded = found.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at.astype(np.int64)
