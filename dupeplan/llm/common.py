@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
+import types
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -156,8 +158,9 @@ def shard_bounds(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], inner, [len(sorted_keys)]]).astype(np.int64)
 
 
-#: Byte tables: A-Z lower-cased; and besides, ASCII bytes other than letters and digits made spaces.
+#: Byte tables: A-Z lower-cased; no change; lower-cased, with ASCII bytes other than letters and digits made spaces.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+PLAIN = bytes(range(256))
 LETTERS = bytes(LOWERED[b] if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -175,3 +178,11 @@ def words_of(column: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray, np.n
         found = found.filter(pa.array(full))
     coded = found.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at.astype(np.int64)
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something that a Python worker keeps from task to task."""
+    held = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
