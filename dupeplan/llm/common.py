@@ -151,13 +151,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shard_bounds(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's run begins in sorted unsigned 64-bit keys; shards split the key range evenly."""
-    edges = [(i << 64) // shards for i in range(1, shards)]
-    inner = np.searchsorted(sorted_keys, np.array(edges, np.uint64), "left") if edges else np.zeros(0, np.int64)
-    return np.concatenate([[0], inner, [len(sorted_keys)]]).astype(np.int64)
-
-
 #: Byte tables: A-Z lower-cased; no change; lower-cased, with ASCII bytes other than letters and digits made spaces.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PLAIN = bytes(range(256))
@@ -186,3 +179,16 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hashed key."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def checked(replies: dict[int, list[dict]], seq: int, mark: int) -> list[dict]:
+    """The replies to a chunk; they must have been made for these rows."""
+    own = replies.get(seq, [])
+    if any(r["stamp"] != mark for r in own):
+        raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
+    return own

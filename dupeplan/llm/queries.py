@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import decontaminate, license, packing, quality, simhash, substrings
+from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model and base scores of every document."""
+    return language.scores(_table(spark, sf_dir, "documents"), language.held_by_key())
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in packed sequences."""
     import public_tokenizers
@@ -67,5 +72,5 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL: dict[str, str] = {}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dupeplan.llm.common import buffers, chunks, mixed, read_replies, shard_count, stamp, text_bytes, write_replies
+from dupeplan.llm.common import buffers, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
 
 PICK = 32
 BLOCK = 1 << 17
@@ -158,11 +158,11 @@ class Chunk:
         """First entries of distinct keys, by shard and then by place; all entries' key numbers; shard of each."""
         order = (self.rank[doc] << np.int64(40)) + starts - self.offsets[doc]
         firsts, group = _firsts(keys, order)
-        shard = (keys[firsts] >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)
+        shard = shards_of(keys[firsts], self.shards)
         by = np.lexsort((order[firsts], shard))
         back = np.empty(len(firsts), np.int64)
         back[by] = np.arange(len(firsts))
-        return firsts[by], back[group], shard[by].astype(np.int64)
+        return firsts[by], back[group], shard[by]
 
     def runs(self):
         s = self.scan
@@ -178,7 +178,7 @@ class Chunk:
         again = np.zeros(len(keys), bool)
         again[group[s.repeats]] = True
         high = np.where(again, ~low, high)
-        return keys, group, (keys >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32), low, high
+        return keys, group, shards_of(keys, self.shards), low, high
 
     def copied_runs(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """Marks of the runs that are copies, and of those whose windows must be compared."""
@@ -233,13 +233,6 @@ def _answer(table: pa.Table) -> pa.Table:
 REPLY = "task int, seq int, shard int, kind int, stamp long, n int, bits binary"
 
 
-def _checked(replies: dict[int, list[dict]], seq: int, mark: int) -> list[dict]:
-    own = replies.get(seq, [])
-    if any(r["stamp"] != mark for r in own):
-        raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
-    return own
-
-
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, spans (start and end of each removed run of bytes), kept_sha256, and with ``keep`` the remaining bytes.
 
@@ -260,7 +253,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             firsts, _, shard = chunk.runs()
             rows = list(_requests(RUNS, shard, chunk.scan.whole[firsts], chunk.ids[chunk.scan.doc[firsts]], task, seq, mark))
             keys, _, shard, low, high = chunk.picks()
-            rows += _requests(PICKS, shard.astype(np.int64), keys, np.stack([low, high - low]), task, seq, mark)
+            rows += _requests(PICKS, shard, keys, np.stack([low, high - low]), task, seq, mark)
             yield from pa.Table.from_pylist(rows, request_schema).to_batches()
 
     def asks_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +261,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         replies = read_replies(coarse, task, columns)
         for seq, table in chunks(batches, text):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
-            _, open_runs = chunk.copied_runs(_checked(replies, seq, mark))
+            _, open_runs = chunk.copied_runs(checked(replies, seq, mark))
             starts, hashes = chunk.scan.windows(open_runs)
             doc = np.searchsorted(chunk.offsets, starts, "right") - 1
             firsts, _, shard = chunk._asked(hashes, starts, doc)
@@ -280,11 +273,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for seq, table in chunks(batches, text):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             scan = chunk.scan
-            copied, open_runs = chunk.copied_runs(_checked(replies, seq, mark))
+            copied, open_runs = chunk.copied_runs(checked(replies, seq, mark))
             starts, hashes = scan.windows(open_runs)
             firsts, group, _ = chunk._asked(hashes, starts, np.searchsorted(chunk.offsets, starts, "right") - 1)
             again = np.ones(len(starts), bool)
-            again[firsts] = ~bits(_checked(finer, seq, mark), WINDOWS, len(firsts))
+            again[firsts] = ~bits(checked(finer, seq, mark), WINDOWS, len(firsts))
             steps = np.zeros(len(scan.data) + 1, np.int32)
             np.add.at(steps, np.concatenate([scan.first[copied], starts[again]]), 1)
             np.add.at(steps, np.concatenate([scan.last[copied], starts[again]]) + length, -1)
