@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one chunk of documents holds; one longer document is a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to Python: long texts must not pile up by the thousand.
+BATCH_BYTES = 4 << 20
 #: Bytes of requests that one shard of a routed look-up should hold.
 SHARD_BYTES = 16 << 20
 
@@ -53,6 +55,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's size of Arrow batches, if it is larger, to ``BATCH_BYTES``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dupeplan.llm.common import buffers, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
+from dupeplan.llm.common import bound_batches, buffers, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
 
 PICK = 32
 BLOCK = 1 << 17
@@ -242,6 +242,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length < 2 * PICK:
         raise ValueError(f"length must be at least {2 * PICK}")
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = docs.select(key, text)
     shards = shard_count(spark, text_bytes(docs, text))
     columns = ["kind", "stamp", "n", "bits"]
