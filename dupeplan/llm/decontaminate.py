@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import LETTERS, chunks, materialize, words_of
+from dupeplan.llm.common import LETTERS, bound_batches, chunks, materialize, words_of
 
 #: Words of test items that one pass over the index takes.
 BLOCK_WORDS = 1_000_000
@@ -39,6 +39,7 @@ FOUND = "task int, seq int, row int, {key} {kind}, n_words long, spans array<str
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores the index; one row for each chunk of documents."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

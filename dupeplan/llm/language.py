@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import LOWERED, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, words_of, write_replies
+from dupeplan.llm.common import LOWERED, bound_batches, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, words_of, write_replies
 
 #: Unigram counts that the lower order adds to a context.
 STRENGTH = 20.0
 #: Added to every unigram count.
 ADDED = 0.1
+#: Text bytes of a chunk; its part of the automaton must fit a Python worker.
+CHUNK = 2 << 20
 WORDS, PAIRS = 0, 1
 END_HASH = np.uint64(0xD1B54A32D192ED03)
 REQUEST = "kind int, shard int, task int, seq int, stamp long, keys binary, counts binary"
@@ -143,13 +145,14 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     meets other rows than the one before it fails.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = docs.select(key, text, F.coalesce(held_out, F.lit(True)).alias("held_out"))
     shards = shard_count(spark, text_bytes(docs, text) * 2)
     request_schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             rows = Grams(table, shards).requests(task, seq, stamp(table, key, text))
             yield from pa.Table.from_pylist(rows, request_schema).to_batches()
 
@@ -161,7 +164,7 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         found = read_replies(replies, task, ["kind", "stamp", "totals"])
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             grams, own = Grams(table, shards), checked(found, seq, stamp(table, key, text))
             counts, pair_counts = grams.totals(own, WORDS), grams.totals(own, PAIRS)
             unigram = (counts + added) / whole

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dupeplan.llm.common import PLAIN, chunks, worker_state, words_of
+from dupeplan.llm.common import PLAIN, bound_batches, chunks, worker_state, words_of
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -152,6 +152,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (tokens), step_group, and with ``with_ids`` the ids."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be ascending powers of two")
+    bound_batches(docs.sparkSession)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import buffers, materialize
+from dupeplan.llm.common import bound_batches, buffers, materialize
 from dupeplan.llm.components import connected_components
 
 #: Distinct fingerprints of a bucket that one task compares; larger buckets go by midpoints.
@@ -131,6 +131,7 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket: int = BUCKET) -> Da
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
     """(key, fp, component_id) for every row; component_id is the smallest key among the rows reachable by links."""
+    bound_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, key, text, shingle, seed), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     roots = materialize(connected_components(near_links(distinct.select("fp"), radius)), "roots").withColumnRenamed("node", "fp")
