@@ -58,8 +58,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's size of Arrow batches, if it is larger, to ``BATCH_BYTES``."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "")
-    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

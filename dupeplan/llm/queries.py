@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings
+from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,5 +72,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs, held = _table(spark, sf_dir, "documents").select("doc_id", "text"), language.held_by_key(folds=5)
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), held)
+    return toxicity.scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
