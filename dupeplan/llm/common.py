@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import sys
 import types
 import uuid
@@ -109,10 +111,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             if start < batch.num_rows:
                 yield number, pa.Table.from_batches(held)
                 held, size, number = [], 0, number + 1
+                give_back()
     if held:
         yield number, pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: executors share what a worker would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stamp(table: pa.Table, key: str, text: str = "text") -> int:
     """A checksum of a chunk's rows; a later pass that meets other rows must not use its look-ups."""
     offsets, _ = buffers(table.column(text))

@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from dupeplan.llm.common import bound_batches, buffers, checked, chunks, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
+from dupeplan.llm.common import bound_batches, buffers, checked, chunks, give_back, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
 
 PICK = 32
 BLOCK = 1 << 17
+#: Text bytes of a chunk.
+CHUNK = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 RUNS, PICKS, WINDOWS = 0, 1, 2
 REQUEST = "kind int, shard int, task int, seq int, stamp long, keys binary, extra binary"
@@ -227,6 +229,7 @@ def _answer(table: pa.Table) -> pa.Table:
     split = np.split(marks, np.cumsum(counts)[:-1])
     out = table.select(["task", "seq", "shard", "kind", "stamp"])
     out = out.append_column("n", pa.array(counts, pa.int32()))
+    give_back()
     return out.append_column("bits", pa.array([np.packbits(x).tobytes() for x in split], pa.binary()))
 
 
@@ -249,7 +252,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             firsts, _, shard = chunk.runs()
             rows = list(_requests(RUNS, shard, chunk.scan.whole[firsts], chunk.ids[chunk.scan.doc[firsts]], task, seq, mark))
@@ -260,7 +263,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def asks_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         replies = read_replies(coarse, task, columns)
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             _, open_runs = chunk.copied_runs(checked(replies, seq, mark))
             starts, hashes = chunk.scan.windows(open_runs)
@@ -271,7 +274,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def removes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         replies, finer = read_replies(coarse, task, columns), read_replies(fine, task, columns)
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             scan = chunk.scan
             copied, open_runs = chunk.copied_runs(checked(replies, seq, mark))
