@@ -7,9 +7,10 @@ window. A text is scored by all its overlapping windows; the largest score,
 calibrated on documents that trained nothing else, is the text's.
 
 The network is trained in numpy on the driver, from at most ``SAMPLE`` labelled
-rows of each class (those with the smallest hashed keys): first on windows that
-inherit their document's label, then once more without the windows of toxic
-documents in which the first network sees nothing.
+rows of each class (those with the smallest hashed keys): first on random windows
+that inherit their document's label, then on the windows that score most in
+each document. Embeddings of words and trigrams that few of the documents hold
+stay zero, so that no document is learnt by heart.
 
 Null and empty texts score what no word says (the network's bias). Repeated
 rows and null keys are scored like any others. Without labels of both classes
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 from dupeplan.llm.common import LETTERS, bound_batches, chunks, words_of
 
 #: Labelled rows of each class that may train and calibrate the network.
-SAMPLE = 1200
+SAMPLE = 1000
+#: Windows of a document in the first round of training, and rounds.
+PER_TEXT, ROUNDS = 6, 4
+#: Documents that must hold a word or trigram for its embedding to be used.
+SEEN = 8
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 14
@@ -88,7 +93,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters and passes; arrays are float32."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, parameters: dict[str, np.ndarray] | None = None):
+        if parameters is not None:
+            self.p = parameters
+            return
         rng = np.random.default_rng(seed)
         scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         h, d = HIDDEN, 2 * WIDTH
@@ -104,6 +112,17 @@ class Network:
         for side in "fg":
             self.p |= {f"{side}zr": scale(h, 2 * h), f"{side}c": scale(h, h)}
 
+    def forget_rare(self, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> None:
+        """Clears the embeddings of words and trigrams that fewer than ``SEEN`` texts hold."""
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        held = np.unique(doc * len(vocabulary) + ids) % max(1, len(vocabulary))
+        texts = np.bincount(held, minlength=len(vocabulary))
+        words = np.bincount(vocabulary.word, texts, WORD_BUCKETS)
+        grams = np.bincount(vocabulary.gram, np.repeat(texts, vocabulary.counts), GRAM_BUCKETS)
+        self.live = {"words": (words >= SEEN)[:, None].astype(np.float32), "grams": (grams >= SEEN)[:, None].astype(np.float32)}
+        for k, live in self.live.items():
+            self.p[k] *= live
+
     def inputs(self, vocabulary: Vocabulary, which: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """Input vectors of words, and what the backward pass needs."""
         which = np.arange(len(vocabulary)) if which is None else which
@@ -193,6 +212,8 @@ def fit(network: Network, vocabulary: Vocabulary, grid: np.ndarray, y: np.ndarra
             g["words"], g["grams"] = np.zeros_like(network.p["words"]), np.zeros_like(network.p["grams"])
             np.add.at(g["words"], vocabulary.word[which], back[:, :WIDTH])
             np.add.at(g["grams"], grams, np.repeat(back[:, WIDTH:] / counts[:, None], counts, axis=0))
+            for k, live in network.live.items():
+                g[k] *= live
             step += 1
             for k, v in network.p.items():
                 first[k] += 0.1 * (g[k] - first[k])
@@ -223,7 +244,15 @@ class Model:
         return _sigmoid(self.slope * self.largest(column) + self.shift)
 
 
-def train(texts: list[str | None], toxic: np.ndarray, apart: np.ndarray, epochs: int = 4, most: int = 8, seed: int = 5) -> Model:
+def _rank(group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Place of each entry within its (ascending) group by order."""
+    by = np.lexsort((order, group))
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by)) - np.repeat(np.flatnonzero(np.diff(group, prepend=-1)), np.bincount(group)[np.unique(group)])
+    return out
+
+
+def train(texts: list[str | None], toxic: np.ndarray, apart: np.ndarray, epochs: int = 3, seed: int = 5) -> Model:
     """Trains on the texts; those marked ``apart`` only calibrate."""
     if not toxic.any() or toxic.all():
         return Model(None, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
@@ -232,18 +261,24 @@ def train(texts: list[str | None], toxic: np.ndarray, apart: np.ndarray, epochs:
     rng, column = np.random.default_rng(seed), pa.array(texts, pa.large_string())
     words, ids, at = words_of(column, LETTERS)
     vocabulary = Vocabulary(words.cast(pa.large_binary()).to_pylist())
-    first, doc = windows_of(at)
-    shuffled = rng.permutation(len(first))
-    order = shuffled[np.argsort(doc[shuffled], kind="stable")]
-    rank = np.arange(len(order)) - np.repeat(np.flatnonzero(np.diff(doc[order], prepend=-1)), np.bincount(doc)[np.unique(doc)])
-    chosen = order[(rank < most) & ~apart[doc[order]]]
-    grid, y = grid_of(ids, at, first[chosen], doc[chosen]), toxic[doc[chosen]].astype(np.float32)
     network = Network()
-    fit(network, vocabulary, grid, y, epochs)
-    seen = _sigmoid(network.forward(network.projected(vocabulary), grid))
-    sure = (y == 0) | (seen > 0.5)
-    if (y[sure] > 0).any():
-        fit(network, vocabulary, grid[sure], y[sure], epochs, rate=0.005, seed=seed)
+    network.forget_rare(vocabulary, ids, at)
+    first, doc = windows_of(at)
+    learnt = np.flatnonzero(~apart[doc])
+    first, doc = first[learnt], doc[learnt]
+    y = toxic[doc].astype(np.float32)
+    order = rng.random(len(doc))
+    for turn in range(ROUNDS):
+        # First windows at random, then those that score most in their document.
+        rank = _rank(doc, order)
+        chosen = rank < (PER_TEXT if not turn else PER_TEXT // 2)
+        if turn:
+            chosen &= (y == 0) | (rank == 0) | (order < 0)
+            chosen |= (y == 0) & (rng.random(len(doc)) < (y == 0).sum() ** -1.0 * 2000)
+        fit(network, vocabulary, grid_of(ids, at, first[chosen], doc[chosen]), y[chosen], epochs if not turn else 2, 0.01 if not turn else 0.005, seed=seed + turn)
+        if turn < ROUNDS - 1:
+            projected = network.projected(vocabulary)
+            order = -np.concatenate([network.forward(projected, grid_of(ids, at, first[i : i + 16_384], doc[i : i + 16_384])) for i in range(0, len(first), 16_384)])
     model = Model(network, 1.0, 0.0)
     held = apart if apart.any() else np.ones(len(toxic), bool)
     slope, shift = _calibrate(model.largest(column.filter(pa.array(held))), toxic[held].astype(float))
@@ -278,10 +313,12 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = (model.network.p if model.network else None, model.slope, model.shift)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        parameters, slope, shift = shared.value
+        model = Model(Network(parameters=parameters) if parameters else None, slope, shift)
         for _, table in chunks(batches, text, CHUNK):
             yield from pa.Table.from_arrays([table.column(0).combine_chunks(), pa.array(model.score(table.column(1)), pa.float64())], names=[key, "score"]).to_batches()
 
