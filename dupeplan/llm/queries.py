@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity
+from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase places and license labels of every document."""
     starts = F.transform("places", lambda x: x["start"])
@@ -79,5 +89,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
