@@ -171,18 +171,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Byte tables: A-Z lower-cased; no change; lower-cased, with ASCII bytes other than letters and digits made spaces.
+#: Byte tables: A-Z lower-cased; and besides, with ASCII bytes other than letters and digits made spaces.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-PLAIN = bytes(range(256))
 LETTERS = bytes(LOWERED[b] if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words_of(column: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, word numbers of all texts in a row, where each text's words begin): texts cut at ASCII white space."""
-    pc = pa.compute
     offsets, data = buffers(column)
-    changed = data.tobytes().translate(table)
-    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(changed))
+    return words_in(offsets, data.tobytes().translate(table))
+
+
+def words_in(offsets: np.ndarray, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As ``words_of``, for texts that lie between offsets of UTF-8 bytes."""
+    pc = pa.compute
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
     lists = pc.ascii_split_whitespace(texts)
     found = lists.flatten()
     full = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)

@@ -68,7 +68,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     ranked = counted.withColumn("_ranked", F.expr(f"CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN {ordered} END")).drop("_windows")
     twice = "sort_array(transform(filter(_ranked, (x, k) -> x.h <=> get(_ranked, k - 1).h OR x.h <=> get(_ranked, k + 1).h), x -> x.i))"
     covered = f"aggregate({twice}, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
-    return ranked.select(*out, *[c for c in STATISTICS if c != "n_repeat_words"], F.expr(f"CASE WHEN _ranked IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words"))
+    repeated = F.expr(f"CASE WHEN _ranked IS NULL THEN 0L ELSE {covered} END").alias("n_repeat_words")
+    # One generated row for each: a filter on the statistics stays above it, else the optimizer would write them out again for every use.
+    return ranked.select(*out, F.inline(F.array(F.struct(*[c for c in STATISTICS if c != "n_repeat_words"], repeated))))
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_digits", "n_marks", "n_repeat_words"]

@@ -236,8 +236,11 @@ def _answer(table: pa.Table) -> pa.Table:
 REPLY = "task int, seq int, shard int, kind int, stamp long, n int, bits binary"
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, spans (start and end of each removed run of bytes), kept_sha256, and with ``keep`` the remaining bytes.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, spans (start and end of each removed run of bytes), kept_sha256, and the columns to ``carry``.
+
+    With ``keep`` there is also kept, the remaining text, without the bytes of
+    characters that a removal has cut in two.
 
     ``docs`` must be a stored table, read the same way each time; a pass that
     meets other rows than the one before it fails.
@@ -299,11 +302,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             removed.append(n)
             spans.append([{"start": x, "end": y} for x, y in zip(turns[::2], turns[1::2])])
             digests.append(hashlib.sha256(rest.tobytes()).hexdigest())
-            left.append(rest.tobytes() if keep else None)
+            left.append(rest.tobytes().decode("utf-8", "ignore") if keep else None)
         arrays = [table.column(0).combine_chunks(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span_type), pa.array(digests)]
         names = [key, "n_bytes", "n_removed", "spans", "kept_sha256"]
         if keep:
-            arrays, names = [*arrays, pa.array(left, pa.binary())], [*names, "kept"]
+            arrays, names = [*arrays, pa.array(left)], [*names, "kept"]
+        arrays, names = [*arrays, *[table.column(c).combine_chunks() for c in carry]], [*names, *carry]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     request_schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
@@ -311,5 +315,6 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     coarse = write_replies(plain.mapInArrow(asks, REQUEST).groupBy("kind", "shard").applyInArrow(_answer, REPLY), "runs")
     fine = write_replies(plain.mapInArrow(asks_windows, REQUEST).groupBy("kind", "shard").applyInArrow(_answer, REPLY), "windows")
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * keep
-    return plain.mapInArrow(removes, schema)
+    schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept string" * keep
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(key, text, *carry).mapInArrow(removes, schema)
