@@ -117,6 +117,7 @@ class Scan:
             left = grams[first[:, None] + around] == pick[:, None]
             right = grams[last[:, None] + around] == pick[:, None]
             same = (left.argmax(1) + first == right.argmax(1) + last) & (left.sum(1) == 1) & (right.sum(1) == 1)
+            pick = mixed(pick)  # minima lie low; shards split the whole range
         self.parts.append((first + s, last + s, pick, whole, ~same))
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
