@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dupeplan.functions import paths
 from dupeplan.operators import planning
 from dupeplan.schema import ANALYSIS_REQUIRED, MERGE_DISPOSITION, OUTPUT_DISPOSITIONS
+from dupeplan.sources.scratch import stored
 
 
 def _checked(plan: DataFrame) -> DataFrame:
@@ -101,17 +102,16 @@ def json_items(contents: DataFrame) -> DataFrame:
 
 def json_conflict_groups(entries: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Sidecars that are JSON files in groups without a keeper: g, group_id, their primary's path and order."""
-    members = planning.duplicate_members(entries, "m")
-    grouped = planning.group_sidecars(members, sidecars)
+    members, grouped = planning.duplicate_groups(entries, sidecars)
     conflict = members.join(planning.primary_keepers(members, grouped).select("g"), "g", "left_anti")
     own = conflict.select("ordinal", "g", "group_id", F.col("path").alias("primary_source_path"), F.lower("label").alias("o_label"), F.lower("relative_path").alias("o_path"))
-    return sidecars.where(F.lower(paths.suffix("path")) == ".json").select("ordinal", "pos", "path").join(own, "ordinal")
+    return stored(sidecars.where(F.lower(paths.suffix("path")) == ".json").select("ordinal", "pos", "path").join(own, "ordinal"), "json")
 
 
 def json_differences(files: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of the JSON analysis: unreadable files, and values of keys that differ within a group; a missing key counts as null."""
     total = files.groupBy("g").agg(F.count("*").alias("json_sidecar_count"))
-    read = files.join(items, "path").join(total, "g")
+    read = stored(files.join(items, "path").join(total, "g"), "read")
     errors = read.where("error IS NOT NULL")
     good = read.where("error IS NULL")
     parsed = good.groupBy("g").agg(F.count("*").alias("parsed"))

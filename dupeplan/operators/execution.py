@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dupeplan.schema import KEEPER_DISPOSITIONS, MERGE_DISPOSITION, OUTPUT_DISPOSITIONS
+from dupeplan.schema import KEEPER_DISPOSITIONS, MERGE_DISPOSITION
+from dupeplan.sources.scratch import stored
 
 PRIMARY = ["planned_duplicate_primary", "planned_duplicate_uncategorized"]
 ROW = ["disposition", "group_id", "file_role", "source_path", "destination_path", "duplicate_output_path", "keeper_path", "primary_source_path", "size_bytes", "xxh128", "input_root"]
@@ -87,12 +88,12 @@ def row_states(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def verdicts(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False) -> DataFrame:
     """Bundle rows with their states and the verdict of the bundle (null: it may run)."""
-    rows = bundles(plan)
+    rows = stored(bundles(plan), "bundles")
     shared = shared_destinations(rows).withColumn("_shared", F.lit(True))
     stated = row_states(rows, snapshot)
     hit = stated.join(shared.withColumnsRenamed({"path": "destination_path"}), "destination_path", "left").withColumnRenamed("_shared", "_hit_d")
     hit = hit.join(shared.withColumnsRenamed({"path": "duplicate_output_path"}), "duplicate_output_path", "left").withColumnRenamed("_shared", "_hit_o")
-    hit = hit.withColumn("shared", F.coalesce("_hit_d", "_hit_o", F.lit(False))).drop("_hit_d", "_hit_o")
+    hit = stored(hit.withColumn("shared", F.coalesce("_hit_d", "_hit_o", F.lit(False))).drop("_hit_d", "_hit_o"), "states")
     failed = lambda p: F.coalesce((F.col("xxh128") == "") | (F.col(f"{p}_digest") != F.col("xxh128")), F.lit(True))
     state = F.col("state")
     keeper = (
@@ -123,7 +124,7 @@ def verdicts(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
 
 def log_rows(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False) -> DataFrame:
     """Rows of the dry-run log: orphans, keepers (once for each bundle) and bundle rows, with what validation found."""
-    rows = verdicts(plan, snapshot, verify_hashes)
+    rows = stored(verdicts(plan, snapshot, verify_hashes), "verdicts")
     state, verdict = F.col("state"), F.coalesce("verdict", F.lit(""))
     wrong = lambda p: F.when(F.col("xxh128") == "", "not_applicable").when(F.col(f"{p}_digest") == F.col("xxh128"), "matched").otherwise("mismatched")
     # Hashes are checked row by row until the first that fails.

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from dupeplan.functions import paths
 from dupeplan.schema import LOG_FIELDS
+from dupeplan.sources.scratch import stored
 
 BUCKET = ["size_bytes", "digest"]
+FILE = ["ordinal", "label", "path", "relative_path", "size_bytes", "digest"]
 
 
 def numbered(groups: DataFrame, prefix: str) -> DataFrame:
@@ -54,6 +56,12 @@ def group_sidecars(members: DataFrame, sidecars: DataFrame, ignore_json: bool =
     return found.withColumns({"class": paths.sidecar_class("path"), "key": paths.sidecar_key("path", "digest", ignore_json)})
 
 
+def duplicate_groups(entries: DataFrame, sidecars: DataFrame, ignore_json: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members of groups, their sidecars), stored: all decisions are made from these two."""
+    members = stored(duplicate_members(entries.select(*FILE), "m"), "members")
+    return members, stored(group_sidecars(members, sidecars.select(*FILE, "pos"), ignore_json), "grouped")
+
+
 def multisets(grouped: DataFrame, *by: str) -> DataFrame:
     """(g, by, ordinal, key, n)."""
     return grouped.groupBy("g", *by, "ordinal", "key").agg(F.count("*").alias("n"))
@@ -194,13 +202,12 @@ def plan(entries: DataFrame, sidecars: DataFrame, others: DataFrame, output_root
     """Every file with what becomes of it: the log columns (but mode and timestamp) and o_* columns that give the rows' order.
 
     Only the small tables of decisions (members of groups, keepers, merges) are
-    kept for reuse; every file is then read once more and judged in place.
+    stored on the way; every file is then read once more and judged in place.
     """
-    files = ["ordinal", "label", "path", "relative_path", "size_bytes", "digest"]
-    members = duplicate_members(entries.select(*files), "m").persist()
-    grouped = group_sidecars(members, sidecars, ignore_json).persist()
-    keepers = primary_keepers(members, grouped).persist()
-    merged = allocated(members, grouped, keepers).where("merge").select("ordinal", "pos", "merge")
+    files = FILE
+    members, grouped = duplicate_groups(entries, sidecars, ignore_json)
+    keepers = stored(primary_keepers(members, grouped), "keepers")
+    merged = stored(allocated(members, grouped, keepers).where("merge").select("ordinal", "pos", "merge"), "merged")
     primaries = decided(entries.select(*files), "m", keepers)
     owners = primaries.select("ordinal", F.col("path").alias("p_path"), F.col("label").alias("p_label"), F.col("relative_path").alias("p_relative"), "g", "group_id", "keeper_path", "fate")
     owned = sidecars.select("ordinal", "pos", "path", "relative_path", "size_bytes", "digest").join(owners, "ordinal").join(merged, ["ordinal", "pos"], "left").withColumn("merge", F.coalesce("merge", F.lit(False)))

@@ -99,15 +99,15 @@ _MERGE = "disposition = 'planned_sidecar_merge'"
 _INV = f"WITH {INVENTORY_SQL}"
 _MOVE_CHECKS = """
 checks AS (
-  SELECT disposition AS d, 'source' AS at, source_path AS path, 'present' AS expect, * FROM plan WHERE status <> 'planned'
+  SELECT disposition AS d, 'source' AS side, source_path AS path, 'present' AS expect, * FROM plan WHERE status <> 'planned'
   UNION ALL SELECT disposition, 'source', source_path, 'absent', * FROM plan WHERE status = 'planned'
   UNION ALL SELECT disposition, 'destination', destination_path, 'present', * FROM plan WHERE status = 'planned')
 SELECT CASE WHEN trouble IS NOT NULL THEN 'verify_move_failed' WHEN d LIKE 'kept_unique_unc%' THEN 'verify_move_unique_uncategorized_intact' WHEN d LIKE 'kept_unique%' THEN 'verify_move_unique_intact' WHEN d LIKE 'kept_sidecar_conf%' THEN 'verify_move_skipped_conflict_intact' ELSE 'verify_move_matched' END AS disposition,
   CASE WHEN d LIKE 'kept_unique_unc%' THEN 'verify_move_unique_uncategorized' WHEN d LIKE 'kept_unique%' THEN 'verify_move_unique' WHEN d LIKE 'kept_sidecar_conf%' THEN 'verify_move_sidecar_conflict' WHEN d LIKE 'kept_duplicate_unc%' THEN 'verify_move_uncategorized_keeper' WHEN d LIKE 'kept%' THEN 'verify_move_keeper'
-    WHEN at = 'source' THEN 'verify_move_duplicate_source' WHEN d = 'planned_sidecar_merge' THEN 'verify_move_sidecar_merge' ELSE 'verify_move_duplicate_destination' END AS event,
-  CASE WHEN trouble IS NOT NULL THEN 'error' WHEN d LIKE 'planned%' THEN 'moved' ELSE 'kept' END AS status, group_id, file_role, input_root, CASE WHEN at = 'source' THEN path ELSE '' END AS source_path, CASE WHEN at = 'destination' THEN path ELSE '' END AS destination_path,
+    WHEN side = 'source' THEN 'verify_move_duplicate_source' WHEN d = 'planned_sidecar_merge' THEN 'verify_move_sidecar_merge' ELSE 'verify_move_duplicate_destination' END AS event,
+  CASE WHEN trouble IS NOT NULL THEN 'error' WHEN d LIKE 'planned%' THEN 'moved' ELSE 'kept' END AS status, group_id, file_role, input_root, CASE WHEN side = 'source' THEN path ELSE '' END AS source_path, CASE WHEN side = 'destination' THEN path ELSE '' END AS destination_path,
   CASE WHEN d LIKE 'kept_unique%' OR d LIKE 'kept_sidecar_conf%' THEN '' ELSE keeper_path END AS keeper_path, size_bytes, xxh128,
-  coalesce(trouble, CASE WHEN d LIKE 'kept_unique%' THEN 'unique_source_intact' WHEN d LIKE 'kept_sidecar_conf%' THEN 'sidecar_conflict_source_intact' WHEN d LIKE 'kept%' THEN 'keeper_source_intact' WHEN at = 'source' THEN 'duplicate_source_missing' WHEN d = 'planned_sidecar_merge' THEN 'merged_sidecar_present' ELSE 'duplicate_destination_present' END) AS reason
+  coalesce(trouble, CASE WHEN d LIKE 'kept_unique%' THEN 'unique_source_intact' WHEN d LIKE 'kept_sidecar_conf%' THEN 'sidecar_conflict_source_intact' WHEN d LIKE 'kept%' THEN 'keeper_source_intact' WHEN side = 'source' THEN 'duplicate_source_missing' WHEN d = 'planned_sidecar_merge' THEN 'merged_sidecar_present' ELSE 'duplicate_destination_present' END) AS reason
 FROM (SELECT checks.*, CASE WHEN expect = 'absent' THEN CASE WHEN fs.path IS NOT NULL THEN 'duplicate_source_still_exists' END WHEN fs.path IS NULL THEN 'expected_file_missing' WHEN fs.size_bytes <> checks.size_bytes THEN 'expected_file_size_mismatch' END AS trouble FROM checks LEFT JOIN fs ON fs.path = checks.path)"""
 
 SQL: dict[str, str] = {

@@ -11,6 +11,7 @@ from dupeplan.functions import paths
 from dupeplan.operators import analysis, execution, inventory, planning, verification
 from dupeplan.plans import adapter
 from dupeplan.plans.oracle import SQL
+from dupeplan.sources.scratch import stored
 
 PLAN_COLUMNS = ["disposition", "event", "status", "reason", "file_role", "source_path", "destination_path", "duplicate_output_path", "keeper_path", "primary_source_path", "group_id", "message", "size_bytes", "xxh128", "input_root"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,10 +26,14 @@ def _plan(spark: SparkSession, sf_dir: str, ignore_json: bool = False) -> DataFr
     return planning.plan(*adapter.split(adapter.inventory(spark, sf_dir)), adapter.OUTPUT, ignore_json)
 
 
+def _stored_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan as the commands after it read it: a table."""
+    return stored(_plan(spark, sf_dir), "plan")
+
+
 def _groups(spark: SparkSession, sf_dir: str, ignore_json: bool = False) -> tuple[DataFrame, DataFrame]:
     entries, sidecars, _ = adapter.split(adapter.inventory(spark, sf_dir))
-    members = planning.duplicate_members(entries, "m")
-    return members, planning.group_sidecars(members, sidecars, ignore_json)
+    return planning.duplicate_groups(entries, sidecars, ignore_json)
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,24 +203,24 @@ def json_key_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plan_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return execution.bundles(_plan(spark, sf_dir)).select("group_id", "bundle", F.col("kind").cast("long").alias("kind"), "disposition", "source_path", "destination_path", "duplicate_output_path", F.col("k_source_path").alias("keeper"))
+    return execution.bundles(_stored_plan(spark, sf_dir)).select("group_id", "bundle", F.col("kind").cast("long").alias("kind"), "disposition", "source_path", "destination_path", "duplicate_output_path", F.col("k_source_path").alias("keeper"))
 
 
 @query
 def orphan_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar rows of a plan from which every second primary row is gone."""
     number = F.regexp_extract("source_path", "IMG_([0-9]+)", 1).cast("int")
-    cut = _plan(spark, sf_dir).where(~((F.col("disposition") == "planned_duplicate_primary") & (number % 2 == 0)))
+    cut = _stored_plan(spark, sf_dir).where(~((F.col("disposition") == "planned_duplicate_primary") & (number % 2 == 0)))
     return execution.orphans(cut).select("group_id", "disposition", "source_path")
 
 
 @query
 def row_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return execution.row_states(execution.bundles(_plan(spark, sf_dir)), snapshot(spark, sf_dir)).select("source_path", "disposition", "state")
+    return execution.row_states(execution.bundles(_stored_plan(spark, sf_dir)), snapshot(spark, sf_dir)).select("source_path", "disposition", "state")
 
 
 def _verdict(spark: SparkSession, sf_dir: str, verify: bool) -> DataFrame:
-    rows = execution.verdicts(_plan(spark, sf_dir), snapshot(spark, sf_dir), verify)
+    rows = execution.verdicts(_stored_plan(spark, sf_dir), snapshot(spark, sf_dir), verify)
     return rows.groupBy("group_id", "bundle").agg(F.count("*").alias("files"), F.coalesce(F.max("verdict"), F.lit("validated")).alias("verdict"))
 
 
@@ -231,7 +236,7 @@ def bundle_verdict_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def execution_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return execution.log_rows(_plan(spark, sf_dir), snapshot(spark, sf_dir), True).drop("bundle", "part")
+    return execution.log_rows(_stored_plan(spark, sf_dir), snapshot(spark, sf_dir), True).drop("bundle", "part")
 
 
 @query
@@ -244,13 +249,13 @@ def byte_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def verify_move_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verification.move_log(_plan(spark, sf_dir), snapshot(spark, sf_dir))
+    return verification.move_log(_stored_plan(spark, sf_dir), snapshot(spark, sf_dir))
 
 
 @query
 def unexpected_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = snapshot(spark, sf_dir).where(F.startswith("path", F.lit(f"{adapter.OUTPUT}/")))
-    return verification.unexpected_outputs(_plan(spark, sf_dir), below)
+    return verification.unexpected_outputs(_stored_plan(spark, sf_dir), below)
 
 
 @query
