@@ -6,13 +6,13 @@ from either side, attention pools their states, and a logistic unit scores the
 window. A text is scored by all its overlapping windows; the largest score,
 calibrated on documents that trained nothing else, is the text's.
 
-The network is trained in numpy on the driver, from at most ``SAMPLE`` labelled
-rows of each class (those with the smallest hashed keys): first on random windows
+The network is trained in numpy on the driver, from at most ``SAMPLE`` toxic
+and ``CLEAN`` times as many clean rows (those with the smallest hashed keys): first on random windows
 that inherit their document's label, then on the windows that score most in
 each document. Embeddings of words and trigrams that few of the documents hold
 stay zero, so that no document is learnt by heart.
 
-Null and empty texts score what no word says (the network's bias). Repeated
+Null and empty texts score what no word says (the network's bias, trained to be clean). Repeated
 rows and null keys are scored like any others. Without labels of both classes
 every score is the share of toxic labels (0 without any). An empty table gives
 an empty result.
@@ -29,15 +29,21 @@ from pyspark.sql import functions as F
 
 from dupeplan.llm.common import LETTERS, bound_batches, chunks, words_of
 
-#: Labelled rows of each class that may train and calibrate the network.
+#: Toxic labelled rows that may train and calibrate the network.
 SAMPLE = 1000
 #: Windows of a document in the first round of training, and rounds.
 PER_TEXT, ROUNDS = 6, 4
 #: Documents that must hold a word or trigram for its embedding to be used.
 SEEN = 8
+#: Decay of embeddings for each step, as a share of the learning rate.
+DECAY = 0.1
+#: Steps that a round of training takes at least, however few its windows.
+STEPS = 80
+#: Clean rows for each toxic one that may train.
+CLEAN = 2
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 14
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 #: Text bytes of a chunk that is scored at once.
 CHUNK = 2 << 20
 
@@ -55,7 +61,7 @@ class Vocabulary:
         inside = np.ones(len(data), bool)
         inside[ends - 1] = inside[ends - 2] = False
         with np.errstate(over="ignore"):
-            hashed = (grams * np.uint32(2654435761)) >> np.uint32(18)
+            hashed = (grams * np.uint32(2654435761)) >> np.uint32(16)
             rolled = np.cumsum(data.astype(np.uint64) * np.cumprod(np.full(len(data), 1099511628211, np.uint64)))
             before = np.where(starts > 0, rolled[starts - 1], 0) if len(starts) else np.zeros(0, np.uint64)
             inverse = np.uint64(pow(1099511628211, -1, 1 << 64))
@@ -198,7 +204,7 @@ def fit(network: Network, vocabulary: Vocabulary, grid: np.ndarray, y: np.ndarra
     rng, step = np.random.default_rng(seed), 0
     first = {k: np.zeros_like(v) for k, v in network.p.items()}
     second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // max(1, len(grid) // batch)))):
         for rows in np.array_split(rng.permutation(len(grid)), max(1, len(grid) // batch)):
             words, local = np.unique(grid[rows], return_inverse=True)
             pad = int(words[0] == -1)
@@ -218,6 +224,8 @@ def fit(network: Network, vocabulary: Vocabulary, grid: np.ndarray, y: np.ndarra
             for k, v in network.p.items():
                 first[k] += 0.1 * (g[k] - first[k])
                 second[k] += 0.001 * (g[k] * g[k] - second[k])
+                if k in network.live:
+                    v *= 1 - DECAY * rate
                 v -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
 
 
@@ -275,7 +283,13 @@ def train(texts: list[str | None], toxic: np.ndarray, apart: np.ndarray, epochs:
         if turn:
             chosen &= (y == 0) | (rank == 0) | (order < 0)
             chosen |= (y == 0) & (rng.random(len(doc)) < (y == 0).sum() ** -1.0 * 2000)
-        fit(network, vocabulary, grid_of(ids, at, first[chosen], doc[chosen]), y[chosen], epochs if not turn else 2, 0.01 if not turn else 0.005, seed=seed + turn)
+        # Windows without a word are clean, and so is any word of a clean text, repeated over a window.
+        grid = grid_of(ids, at, first[chosen], doc[chosen])
+        clean = grid[y[chosen] == 0]
+        blank, echo = np.full((len(grid) // 32 + 1, WINDOW), -1), len(clean) // 8
+        word = clean[rng.integers(0, len(clean), echo), rng.integers(0, WINDOW, echo)]
+        grid = np.concatenate([grid, blank, np.repeat(word[:, None], WINDOW, axis=1)])
+        fit(network, vocabulary, grid, np.concatenate([y[chosen], np.zeros(len(blank) + echo, np.float32)]), epochs if not turn else 2, 0.01 if not turn else 0.005, seed=seed + turn)
         if turn < ROUNDS - 1:
             projected = network.projected(vocabulary)
             order = -np.concatenate([network.forward(projected, grid_of(ids, at, first[i : i + 16_384], doc[i : i + 16_384])) for i in range(0, len(first), 16_384)])
@@ -286,26 +300,29 @@ def train(texts: list[str | None], toxic: np.ndarray, apart: np.ndarray, epochs:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one input, lightly shrunk, by Newton's method."""
-    w = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
+    """(slope, shift) of a logistic regression on one input, lightly shrunk; Newton's method with halved steps where it would climb."""
+    mean, scale = float(x.mean()), float(x.std()) or 1.0
+    design = np.stack([(x - mean) / scale, np.ones_like(x)], axis=1)
+    loss = lambda w: float(np.logaddexp(0, design @ w).sum() - y @ (design @ w) + 0.05 * w @ w)
+    w = np.zeros(2)
+    for _ in range(60):
         p = _sigmoid(design @ w)
-        slope = design.T @ (p - y) + 0.01 * w
-        bend = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(bend, slope), -2, 2)
-    return float(w[0]), float(w[1])
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2), design.T @ (p - y) + 0.1 * w)
+        while loss(w - step) > loss(w) + 1e-12 and abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` labelled rows of each class that are not held out."""
+    """Trains on labelled rows that are not held out: at most ``sample`` toxic ones and ``CLEAN`` times as many others."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
     hashed = F.xxhash64(key, F.lit(11))
     chosen = None
     for value in (0, 1):
-        part = known.where((F.col("_label") == value) & ~held_out).orderBy(hashed, key).limit(sample)
+        part = known.where((F.col("_label") == value) & ~held_out).orderBy(hashed, key).limit(sample * (1 if value else CLEAN))
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select(key, text).join(F.broadcast(chosen), key).orderBy(hashed, key).limit(2 * sample)
+    found = docs.select(key, text).join(F.broadcast(chosen), key).orderBy(hashed, key).limit((1 + CLEAN) * sample)
     rows = found.select(text, "_label", (F.pmod(F.xxhash64(key, F.lit(12)), F.lit(4)) == 0).alias("_apart")).collect()
     return train([r[0] for r in rows], np.array([r[1] == 1 for r in rows], bool), np.array([r[2] for r in rows], bool))
 
