@@ -14,7 +14,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one chunk of documents holds; one longer document is a chunk of its own.
@@ -70,6 +70,19 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
 
 
+def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hashed keys.
+
+    Of a large table only those rows are sorted whose hash lies below a bound
+    that leaves about four times as many, so that what tasks send on does not
+    grow with their number.
+    """
+    count, hashed = df.count(), F.xxhash64(key, F.lit(11))
+    if count > 16 * n:
+        df = df.where(F.pmod(hashed, F.lit(1 << 30)) < -(-(1 << 32) * n // count))
+    return df.orderBy(hashed, key).limit(n)
+
+
 def shard_count(spark: SparkSession, request_bytes: int) -> int:
     """Shards of a routed look-up; their number follows the input, so that each stays of one size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-request_bytes // SHARD_BYTES), 1)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import bound_batches, file_system, materialize, scratch_path
+from dupeplan.llm.common import bound_batches, file_system, hashed_sample, materialize, scratch_path
 
 #: Skippable frame that holds the dictionary, and the magic number of a frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -155,7 +155,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
     groups = base.where(F.octet_length("html") >= least).groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", "first")
     marked = base.join(groups, "digest", "left").select("key", "url", "html", F.when(F.col("first").isNull() | (F.col("first.row") == F.col("row")), "response").otherwise("revisit").alias("kind"), F.col("first.key").alias("refers"))
-    sampled = pages.select(whole.alias("html")).where(F.octet_length("html").between(1, 1 << 17)).orderBy(F.xxhash64("html")).limit(SAMPLE)
+    fitting = pages.select(F.col(key).alias("key"), whole.alias("html")).where(F.octet_length("html").between(1, 1 << 17))
+    sampled = hashed_sample(fitting, F.col("key"), SAMPLE).select("html")
     dictionary = train_dictionary([r[0].encode() for r in sampled.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
