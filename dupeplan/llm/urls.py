@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dupeplan.llm.common import hashed_sample, materialize
+
 #: Labelled URLs from which trees are boosted: those with the smallest hashes.
 SAMPLE = 10_000
 #: (verdict, host, path).
@@ -79,7 +81,8 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def _rates(labelled: DataFrame, column: str) -> DataFrame:
     """Smoothed share of blocked URLs for each suffix; every labelled row counts."""
-    return labelled.groupBy(column).agg(((F.sum("blocked") + 1) / (F.count("*") + 2)).alias(f"{column}_rate"))
+    rates = labelled.groupBy(column).agg(((F.sum("blocked") + 1) / (F.count("*") + 2)).alias(f"{column}_rate"))
+    return materialize(rates, "rates")  # its size is known when the joins are planned
 
 
 @dataclass(frozen=True)
@@ -166,7 +169,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[
         rated = df.join(tld, "tld", "left").join(domain, "domain", "left")
         return rated.fillna(0.5, ["tld_rate", "domain_rate"])
 
-    chosen = known.orderBy(F.xxhash64(url), url).limit(sample)
+    chosen = hashed_sample(known, F.col(url), sample)
     got = with_rates(chosen).select("blocked", *[F.col(k).cast("double").alias(k) for k in FEATURES]).collect()
     trees = Trees.boost({k: np.array([r[k] for r in got], float) for k in FEATURES}, np.array([r["blocked"] for r in got], float))
     scored = with_rates(found).withColumn("score", trees.column())
