@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dupeplan.llm.common import hashed_sample
+
 #: Labelled rows from which a list is learned: those with the smallest hashed keys.
 SAMPLE = 6000
 SPACE = " \t\n\x0b\x0c\r"
@@ -144,7 +146,8 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precis
 
 def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
     """Learns the list that rejects rows labelled 0, from at most ``sample`` labelled keys (and rows)."""
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(sample)
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("_label"))
+    chosen = hashed_sample(known, F.col(key), sample)
     labelled = docs.select(key, text).join(F.broadcast(chosen), key)
     found = with_statistics(labelled, text).select(key, "_label", *[F.expr(e).alias(k) for k, e in FEATURES.items()], (F.pmod(F.xxhash64(key, F.lit(1)), F.lit(3)) == 0).alias("_fold"))
     got = found.orderBy(key).limit(sample).collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import LETTERS, bound_batches, chunks, words_of
+from dupeplan.llm.common import LETTERS, bound_batches, chunks, hashed_sample, words_of
 
 #: Toxic labelled rows that may train and calibrate the network.
 SAMPLE = 1000
@@ -320,7 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_
     hashed = F.xxhash64(key, F.lit(11))
     chosen = None
     for value in (0, 1):
-        part = known.where((F.col("_label") == value) & ~held_out).orderBy(hashed, key).limit(sample * (1 if value else CLEAN))
+        part = hashed_sample(known.where((F.col("_label") == value) & ~held_out), F.col(key), sample * (1 if value else CLEAN))
         chosen = part if chosen is None else chosen.unionByName(part)
     found = docs.select(key, text).join(F.broadcast(chosen), key).orderBy(hashed, key).limit((1 + CLEAN) * sample)
     rows = found.select(text, "_label", (F.pmod(F.xxhash64(key, F.lit(12)), F.lit(4)) == 0).alias("_apart")).collect()
