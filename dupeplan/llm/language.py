@@ -156,7 +156,7 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             rows = Grams(table, shards).requests(task, seq, stamp(table, key, text))
             yield from pa.Table.from_pylist(rows, request_schema).to_batches()
 
-    replies = write_replies(plain.mapInArrow(asks, REQUEST).groupBy("kind", "shard").applyInArrow(_add, REPLY), "counts")
+    replies = write_replies(plain.mapInArrow(asks, REQUEST).repartition(2 * shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_add, REPLY), "counts")
     stored = spark.read.schema(REPLY).parquet(replies)
     distinct, tokens = (x or 0 for x in stored.where(F.col("kind") == WORDS).agg(F.sum("n_distinct"), F.sum("n_tokens")).first())
     whole = tokens + added * (distinct + 1)

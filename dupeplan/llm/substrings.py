@@ -313,8 +313,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     request_schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    coarse = write_replies(plain.mapInArrow(asks, REQUEST).groupBy("kind", "shard").applyInArrow(_answer, REPLY), "runs")
-    fine = write_replies(plain.mapInArrow(asks_windows, REQUEST).groupBy("kind", "shard").applyInArrow(_answer, REPLY), "windows")
+    coarse = write_replies(plain.mapInArrow(asks, REQUEST).repartition(2 * shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, REPLY), "runs")
+    fine = write_replies(plain.mapInArrow(asks_windows, REQUEST).repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, REPLY), "windows")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept string" * keep
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
