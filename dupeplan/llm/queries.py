@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity, urls, warc
+from dupeplan.llm import decontaminate, language, license, oracle, packing, quality, simhash, substrings, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,4 +90,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
