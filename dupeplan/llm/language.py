@@ -44,6 +44,17 @@ REQUEST = "kind int, shard int, task int, seq int, stamp long, keys binary, coun
 REPLY = "task int, seq int, shard int, kind int, stamp long, totals binary, n_distinct long, n_tokens long"
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, all first bytes together, then all second ones: the high bytes are zeros that shuffles compress away."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 class Grams:
     """The tokens of a chunk and its distinct words and pairs, each in the order of asking."""
 
@@ -74,27 +85,27 @@ class Grams:
     def requests(self, task: int, seq: int, mark: int) -> list[dict]:
         rows = []
         for kind, keys, counts, shard in ((WORDS, self.hashes, self.word_counts, self.word_shards), (PAIRS, self.pair_hashes, self.pair_counts, self.pair_shards)):
-            by = np.argsort(shard, kind="stable")
+            by = np.argsort(keys, kind="stable")
             keys, counts, shard = keys[by], counts[by].astype(np.int32), shard[by]
             edges = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(shard)]
-            rows += [{"kind": kind, "shard": int(shard[a]), "task": task, "seq": seq, "stamp": mark, "keys": keys[a:b].tobytes(), "counts": counts[a:b].tobytes()} for a, b in zip(edges, edges[1:])]
+            rows += [{"kind": kind, "shard": int(shard[a]), "task": task, "seq": seq, "stamp": mark, "keys": squeezed(keys[a:b]), "counts": counts[a:b].tobytes()} for a, b in zip(edges, edges[1:])]
         return rows
 
     def totals(self, replies: list[dict], kind: int) -> np.ndarray:
         """Corpus counts in the order of the words or pairs."""
-        shard = self.word_shards if kind == WORDS else self.pair_shards
+        hashes = self.hashes if kind == WORDS else self.pair_hashes
         parts = [np.frombuffer(r["totals"], np.int64) for r in replies if r["kind"] == kind]
         found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if len(found) != len(shard):
+        if len(found) != len(hashes):
             raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
         out = np.empty_like(found)
-        out[np.argsort(shard, kind="stable")] = found
+        out[np.argsort(hashes, kind="stable")] = found
         return out
 
 
 def _add(table: pa.Table) -> pa.Table:
     """One shard: the sums of all chunks' counts, for every chunk that asks."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    keys = [unsqueezed(x) for x in table.column("keys").to_pylist()]
     sizes = [len(x) for x in keys]
     keys = np.concatenate(keys)
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]).astype(np.int64)
