@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("dupeplan").getOrCreate()
     try:
         if a.command == "manifest":
-            print(commands.generate_manifest(spark, a.root, a.nas_root, a.manifest or manifests.default_manifest_path(a.root), a.structure_depth))
+            print(commands.generate_manifest(spark, a.root, a.nas_root, a.manifest or manifests.manifest_beside(a.root), a.structure_depth))
             return 0
         if a.command == "plan":
             print(commands.plan_from_manifests(spark, a.manifests, a.output, a.log, a.ignore_json_sidecar_fields))

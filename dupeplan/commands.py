@@ -64,7 +64,7 @@ def plan_from_manifests(spark: SparkSession, paths: list[str], output_root: str,
     tables = manifests.load(spark, paths)
     rows = stored(planning.plan(*tables, str(output_root), ignore_json), "plan")
     # Within an entry the log sorts by place; a conflict group keeps the order of reading.
-    path = _write_log(rows, log or manifests.default_log_path("plan"), "plan log", "manifest_plan", planning.ORDER)
+    path = _write_log(rows, log or manifests.dated_log("plan"), "plan log", "manifest_plan", planning.ORDER)
     return {"log_path": path, **planning.totals(rows).first().asDict()}
 
 
@@ -88,7 +88,7 @@ def analyze_json_sidecars(spark: SparkSession, paths: list[str], log: str | None
     found = analysis.json_conflict_groups(entries, sidecars)
     order = ["o_group", "o_part", "o_key", "o_label", "o_path", "o_pos"]
     rows = stored(analysis.json_differences(found, analysis.json_items(file_texts(found))), "differences")
-    path = manifests.write_csv(rows.select(*JSON_FIELDS, *order), log or manifests.default_log_path("analyze_json_sidecars"), "JSON analysis log", order)
+    path = manifests.write_csv(rows.select(*JSON_FIELDS, *order), log or manifests.dated_log("analyze_json_sidecars"), "JSON analysis log", order)
     counts = rows.agg(F.count_if(F.col("status") == "error").alias("e"), F.count_distinct(F.when(F.col("status") == "differing", F.struct("group_id", "json_key"))).alias("d")).first()
     return {"log_path": path, "analyzed_groups": found.select("g").distinct().count(), "differing_keys": counts["d"], "parse_errors": counts["e"]}
 
@@ -121,7 +121,7 @@ def verify_bytes(spark: SparkSession, paths: list[str], log: str | None = None)
     contents = compared.select("path", F.when(F.col("equal"), F.col("left")).otherwise(F.col("path")).alias("content")).distinct()
     rows = stored(verification.byte_log(groups, contents), "bytes")
     role = F.when(F.col("file_role") == "primary", 0).when(F.col("file_role") == "sidecar", 1).otherwise(2)
-    path = _write_log(rows.withColumn("o_role", role), log or manifests.default_log_path("verify_bytes"), "verify log", "manifest_verify", ["o_role"])
+    path = _write_log(rows.withColumn("o_role", role), log or manifests.dated_log("verify_bytes"), "verify log", "manifest_verify", ["o_role"])
     failed = rows.where("disposition = 'verify_failed'").select("file_role", "group_id").distinct().count()
     return {"log_path": path, "checked_groups": groups.select("file_role", "g").distinct().count(), "failed_groups": failed}
 
@@ -130,7 +130,7 @@ def verify_move(spark: SparkSession, paths: list[str], output_root: str, log: st
     rows = stored(planning.plan(*manifests.load(spark, paths), str(output_root), ignore_json), "plan")
     where = rows.select(F.explode(F.array("source_path", "destination_path")).alias("path")).where("path <> ''")
     checks = stored(verification.move_log(rows, files.snapshot(spark, where, with_digest=False)), "checks")
-    target = log or manifests.default_log_path("verify_move")
+    target = log or manifests.dated_log("verify_move")
     inside = files.tree(spark, str(output_root)).where("is_file").select("path", F.lit(True).alias("is_file"), "size_bytes")
     extra = stored(verification.unexpected_outputs(rows, inside).where(F.col("source_path") != os.path.abspath(target)), "extra")
     order = {"o_extra": F.lit(0), "o_group": F.col("group_id"), "o_path": F.concat("source_path", "destination_path")}
@@ -151,8 +151,8 @@ def execute_plan(spark: SparkSession, plan: str, log: str | None = None, move: b
         rows = rows.withColumn("xxh128", F.col("xxh64"))
     rows = stored(rows, "plan")
     _check_plan(rows, plan)
-    target = log or manifests.default_log_path("execute_plan")
-    manifests.prepare_new_path(target, "execution log")
+    target = log or manifests.dated_log("execute_plan")
+    manifests.refuse_existing(target, "execution log")
     every = execution.planned(rows).selectExpr("explode(array(source_path, destination_path, duplicate_output_path)) AS path").where("path <> ''")
     if move:
         made = moving.move_bundles(spark, rows, verify)

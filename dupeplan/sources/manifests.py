@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str, what: str, order: list[str] | None = Non
     """
     import csv
 
-    prepare_new_path(path, what)
+    refuse_existing(path, what)
     columns = [c for c in df.columns if c not in (order or [])]
     rows = df.orderBy(*order).select(*columns) if order else df
     with open(path, "x", newline="", encoding="utf-8") as f:
@@ -42,7 +42,7 @@ def write_csv(df: DataFrame, path: str, what: str, order: list[str] | None = Non
     return str(path)
 
 
-def prepare_new_path(path: str, what: str) -> None:
+def refuse_existing(path: str, what: str) -> None:
     if os.path.exists(path):
         raise ValueError(f"{what} already exists: {path}")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
@@ -104,11 +104,11 @@ def load(spark: SparkSession, manifests: list[str]) -> tuple[DataFrame, DataFram
     return stored(entries.select(*columns), "entries"), stored(sidecar_rows, "sidecars"), stored(others.select(*columns), "others")
 
 
-def default_manifest_path(root: str) -> str:
+def manifest_beside(root: str) -> str:
     return f"{Path(root).name}.manifest.csv"
 
 
-def default_log_path(action: str) -> str:
+def dated_log(action: str) -> str:
     from datetime import datetime
 
     return str(Path.cwd() / f"{action}_{datetime.now():%Y%m%d_%H%M%S}.csv")
