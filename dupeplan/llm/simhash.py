@@ -74,11 +74,11 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
 
 def _spanning(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each member to the smallest of its component within one bucket."""
-    left, fro, to = np.sort(fps), [], []
+    left, fro, to = np.sort(fps), [], []  # signed, as the smallest is
     while len(left):
         root, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= radius
+            near = np.bitwise_count((left ^ queue.pop()).view(np.uint64)) <= radius  # of a signed number it counts the absolute value
             if near.any():
                 queue.extend(left[near])
                 fro.append(left[near])

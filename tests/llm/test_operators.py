@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity, urls, warc
 from dupeplan.llm.common import chunks, materialize
+from dupeplan.llm.components import connected_components
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,6 +96,32 @@ def test_links_of_large_buckets(spark, bucket):
             assert (roots.get(signed(a), signed(a)) == roots.get(signed(b), signed(b))) == (want[a] == want[b])
 
 
+def test_links_across_the_top_bit(spark):
+    """Near copies of three and more fingerprints in one bucket whose differing bits include bit 63."""
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    top, rng = 1 << 63, np.random.default_rng(4)
+    for _ in range(20):
+        center = int(rng.integers(1 << 62))
+        prints = [center ^ sum(1 << int(b) for b in rng.choice(63, 1)) ^ side for side in (0, top) for _ in range(4)] + [center ^ top ^ 7, center ^ top ^ 15]
+        fro, to = simhash._spanning(np.array([signed(p) for p in set(prints)], np.int64), 4)
+        roots = dict(zip(fro.tolist(), to.tolist(), strict=True))
+        assert_same_groups(prints, roots)
+    # Bits 31 and 62 carry the vector of bit 0, so a bucket that both sides of a cluster share holds all six.
+    clusters = [[c, c ^ 1 << 31, c ^ 1 << 62, c ^ top ^ 3, c ^ top ^ 3 ^ 1 << 31, c ^ top ^ 3 ^ 1 << 62] for c in map(int, rng.integers(1 << 62, size=20))]
+    prints = [p for c in clusters for p in c]
+    df = materialize(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), "t")
+    found = connected_components(materialize(simhash.near_links(df), "t"))
+    assert_same_groups(prints, {r["node"]: r["root"] for r in found.collect()})
+
+
+def assert_same_groups(prints, roots):
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    want = components(prints, 4)
+    for a in want:
+        for b in want:
+            assert (roots.get(signed(a), signed(a)) == roots.get(signed(b), signed(b))) == (want[a] == want[b])
+
+
 def test_masks_cover_every_pair():
     rng = np.random.default_rng(0)
     for radius in (1, 3, 4):
