@@ -7,6 +7,10 @@ first ``size - need + 1`` tokens, so only those are looked up; blocks with too
 few known tokens (length filter) and matches after which too few tokens are
 left on either side (positional filter) go before the exact count.
 
+A notice may be wrapped: besides lines, blocks are all runs of words, over line
+breaks too, of a template's length divided by the threshold. They are counted
+around the template's first tokens only, by the same prefix filter.
+
 Null and empty texts have no words, no places and score 0. Repeated rows are
 judged row by row, as are rows with equal or null keys. An empty table gives an
 empty result. Other columns are ignored.
@@ -35,6 +39,7 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 THRESHOLD = 0.8
+MATCHES = "array<struct<template:int,label:string,containment:double>>"
 #: Characters between words, before A-Z are lower-cased.
 GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,19 +68,32 @@ def token_order(docs: DataFrame, templates: list[tuple[str, str]], text: str = "
     return [t for _, t in sorted((counts[f"c{i}"], t) for i, t in enumerate(known))]
 
 
+def _run_match(number: int, label: str, own: list[str], need: int, length: int) -> Column:
+    """The struct of a template (tokens by order, need of them) with the most of them that ``length`` neighbouring words of ``_wrapped`` hold, or no struct."""
+    tokens, first = F.array(*[F.lit(t) for t in own]), own[: len(own) - need + 1]
+    start = lambda p: F.greatest(p - length + 1, F.lit(0))
+    held = lambda at, n: F.size(F.array_intersect(tokens, F.slice("_wrapped", at + 1, F.lit(n))))
+    spots = F.filter(F.transform("_wrapped", lambda w, i: F.when(w.isin(first), i)), lambda p: p.isNotNull())
+    near = F.filter(spots, lambda p: held(start(p), 2 * length - 1) >= need)
+    most = F.array_max(F.transform(near, lambda p: F.array_max(F.transform(F.sequence(start(p), p), lambda a: held(a, length)))))
+    match = F.transform(F.filter(F.array(most), lambda m: m >= need), lambda m: F.struct(F.lit(number).alias("template"), F.lit(label).alias("label"), (m / len(own)).alias("containment")))
+    return F.when(F.size(F.array_intersect(tokens, F.col("_wrapped"))) >= need, match).otherwise(F.array().cast(MATCHES))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Two tables: one row per input row with its words and phrase places, and the matches (row, block, label, containment).
 
-    The first holds row (a number of the input row), the key, n_words, and
+    Block is the number of the line, null for the best run of words over line breaks. The first holds row (a number of the input row), the key, n_words, and
     places: an array of (phrase, start) structs.
     """
     spark = docs.sparkSession
     order = token_order(docs, templates, text)
-    index = []
+    index, runs = [], []
     for number, (label, body) in enumerate(templates):
         own = sorted(set(tokens_of(body)), key=order.index)
         need = max(1, math.ceil(threshold * len(own) - 1e-9))
         index += [(t, i, number, label, own, need) for i, t in enumerate(own[: len(own) - need + 1])]
+        runs.append((number, label, own, need, math.ceil(len(tokens_of(body)) / threshold - 1e-9)))
     first = sorted({x[0] for x in index}, key=order.index)
     least = min((x[5] for x in index), default=1)
 
@@ -105,8 +123,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
         F.when(F.length("_spaced") <= 2, F.lit(0)).otherwise(F.length("_spaced") - F.length(F.replace("_spaced", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
         F.when(marked, F.split(F.btrim(_lowered(F.col("_spaced"))), " ")).alias("_w"),
         F.when(hopeful, blocks).alias("blocks"),
+        F.when(hopeful & F.contains("_text", F.lit("\n")), F.split(F.btrim(_lowered(F.col("_spaced"))), " ")).alias("_wrapped"),
         "_low",
-    ).select("row", key, "n_words", places.alias("places"), "blocks")
+    ).select("row", key, "n_words", places.alias("places"), "blocks", F.concat(F.array().cast(MATCHES), *[_run_match(*run) for run in runs]).alias("runs"))
     table = materialize(table, "licenses")
 
     lookup = spark.createDataFrame(index, "token string, i int, template int, label string, own array<string>, need int")
@@ -118,7 +137,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     candidates = joined.where(~earlier & (bound >= F.col("need")))
     shared = candidates.withColumn("overlap", F.size(F.array_intersect("own", "tokens"))).where("overlap >= need")
     matches = shared.select("row", "block", "template", "label", (F.col("overlap") / F.size("own")).alias("containment"))
-    return table.drop("blocks"), matches
+    wrapped = table.select("row", F.explode("runs").alias("r")).select("row", F.lit(None).cast("int").alias("block"), "r.template", "r.label", "r.containment")
+    return table.drop("blocks", "runs"), matches.unionByName(wrapped)
 
 
 def labels(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -350,6 +350,30 @@ def test_licenses(docs, rows, none):
     assert as_rows(license.labels(none)) == []
 
 
+def test_wrapped_notices(spark):
+    """Every template broken after each of its words is found with the share that its runs of words hold; words far apart are not."""
+    texts = []
+    for _, body in license.TEMPLATES:
+        w = body.split()
+        texts += [f"before it\n * {' '.join(w[:i])}\n * {' '.join(w[i:])} and after" for i in range(1, len(w))]
+        texts += ["\n".join(w), "\n".join(x + " and then some other words" for x in w), "\n".join(w[1:]) + "\n" + "x " * 50 + w[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license.labels(df).collect()}
+    missed_by_lines = 0
+    for i, t in enumerate(texts):
+        more, most, lines, w = set(), 0.0, set(), letters(t)
+        for label, body in license.TEMPLATES:
+            own, n = set(letters(body)), math.ceil(len(letters(body)) / license.THRESHOLD - 1e-9)
+            shares = [len(own & set(letters(x))) / len(own) for x in t.split("\n")]
+            lines |= {label} if max(shares) >= license.THRESHOLD else set()
+            share = max(*shares, *(len(own & set(w[a : a + n])) / len(own) for a in range(len(w))))
+            if share >= license.THRESHOLD:
+                more, most = more | {label}, max(most, share)
+        missed_by_lines += more != lines
+        assert (set(got[i]["more"]), got[i]["score"]) == (more, 1.0 if got[i]["places"] else most), t
+    assert missed_by_lines > 40
+
+
 # Quality
 
 
