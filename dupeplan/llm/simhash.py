@@ -108,7 +108,8 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket: int = BUCKET) -> Da
     if sizes.where(F.col("n") > bucket).isEmpty():
         return edges
 
-    # Members of a larger bucket link if and only if they share a midpoint: all that lie within radius / 2 of one point are within the radius of each other.
+    # Members of a larger bucket link if and only if they share a midpoint that one of them is within radius // 2 of and the other within the rest of the radius.
+    # Such an inner member is within the radius of all members of the midpoint; without one, the midpoint links none.
     half, unsigned = radius // 2, [m & ((1 << 64) - 1) for m in masks]
 
     def midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +125,9 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket: int = BUCKET) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), table, np.int32)), pa.array(own ^ flip), pa.array(own)], names=["v", "mid", "fp"])
 
     spread = members.where(F.col("n") > bucket).select("v", "key", "fp").mapInArrow(midpoints, "v int, mid long, fp long")
-    least = spread.groupBy("v", "mid").agg(F.min("fp").alias("b"))
-    far = spread.join(least, ["v", "mid"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-    return edges.unionByName(far.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    inner = F.bit_count(F.col("fp").bitwiseXOR(F.col("mid"))) <= half
+    least = spread.groupBy("v", "mid").agg(F.min(F.when(inner, F.col("fp"))).alias("b"))
+    return edges.unionByName(spread.join(least, ["v", "mid"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:

@@ -114,9 +114,17 @@ def test_links_across_the_top_bit(spark):
     assert_same_groups(prints, {r["node"]: r["root"] for r in found.collect()})
 
 
-def assert_same_groups(prints, roots):
+def test_midpoints_of_odd_radii(spark):
+    """Two members at distance 1, each with a smaller neighbour that is 2 from the other; all in one bucket that goes by midpoints."""
+    prints = [0b1001000, 0b1001001, 0b1000000, 0b0001001]
+    df = materialize(spark.createDataFrame([(p,) for p in prints], "fp long"), "t")
+    found = connected_components(materialize(simhash.near_links(df, 1, 3), "t"))
+    assert_same_groups(prints, {r["node"]: r["root"] for r in found.collect()}, 1)
+
+
+def assert_same_groups(prints, roots, radius=4):
     signed = lambda p: p - (1 << 64) if p >> 63 else p
-    want = components(prints, 4)
+    want = components(prints, radius)
     for a in want:
         for b in want:
             assert (roots.get(signed(a), signed(a)) == roots.get(signed(b), signed(b))) == (want[a] == want[b])
