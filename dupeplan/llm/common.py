@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one chunk of documents holds; one longer document is a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Rows that one chunk holds, however short their texts.
+CHUNK_ROWS = 1 << 16
 #: Bytes of an Arrow batch on its way to Python: long texts must not pile up by the thousand.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of stored replies.
+BLOCK_BYTES = 8 << 20
 #: Bytes of requests that one shard of a routed look-up should hold.
 SHARD_BYTES = 16 << 20
 
@@ -65,6 +69,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """Pins the number from which Spark derives the splits of a scan, so that passes before and after executors come or go meet the same ones."""
+    name = "spark.sql.leafNodeDefaultParallelism"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
@@ -104,26 +115,26 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered runs of rows with at most ``limit`` text bytes (or one row). The same input gives the same chunks."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, most: int = CHUNK_ROWS) -> Iterator[tuple[int, pa.Table]]:
+    """Numbered runs of at most ``most`` rows with at most ``limit`` text bytes (or one row). The same input gives the same chunks."""
     held: list[pa.RecordBatch] = []
-    size, number = 0, 0
+    size, rows, number = 0, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = np.cumsum(np.diff(buffers(batch.column(text))[0]))
         start, base = 0, 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(ends, base + limit - size, "right"))
+            stop = min(int(np.searchsorted(ends, base + limit - size, "right")), start + most - rows)
             if stop <= start and not held:
                 stop = start + 1
             if stop > start:
                 held.append(batch.slice(start, stop - start))
-                size += int(ends[stop - 1]) - base
+                size, rows = size + int(ends[stop - 1]) - base, rows + stop - start
                 base, start = int(ends[stop - 1]), stop
             if start < batch.num_rows:
                 yield number, pa.Table.from_batches(held)
-                held, size, number = [], 0, number + 1
+                held, size, rows, number = [], 0, 0, number + 1
                 give_back()
     if held:
         yield number, pa.Table.from_batches(held)
@@ -153,26 +164,77 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_replies(replies: DataFrame, tag: str) -> str:
-    """Stores look-up results by the task that asked, for ``read_replies``."""
-    path = scratch_path(replies.sparkSession, tag)
-    replies.repartition("task").sortWithinPartitions("task", "seq", "shard").write.partitionBy("task").parquet(path)
+def answered(requests: DataFrame, group: Column, groups: int, answer: Callable[[pa.Table], pa.Table], reply: str) -> DataFrame:
+    """``answer`` applied to every group of requests; ``group``, below ``groups``, is the number of a request's partition, so no two groups share a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from answer(pa.Table.from_batches(held)).to_batches()
+            give_back()
+
+    return requests.repartitionById(groups, group.cast("int")).mapInArrow(run, reply)
+
+
+def write_replies(replies: DataFrame, tag: str, parts: int) -> str:
+    """Stores look-up results by the task that asked, for ``read_replies``; ``parts`` follows the input."""
+    spark = replies.sparkSession
+    path = scratch_path(spark, tag)
+    dealt = replies.repartitionById(parts, F.pmod("task", F.lit(parts))).sortWithinPartitions("task", "seq", "shard")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what was shuffled goes once the table is whole
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        dealt.write.option("parquet.block.size", BLOCK_BYTES).partitionBy("task").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return path
 
 
-def read_replies(path: str, task: int, columns: list[str]) -> dict[int, list[dict]]:
-    """By chunk number, the replies to a task in the order of shards."""
-    import pyarrow.dataset as ds
+def read_replies(path: str, task: int, columns: list[str]) -> Replies:
+    """The replies to a task, for chunks in ascending order."""
     from pyarrow import fs
 
     system, place = file_system(f"{path}/task={task}")
     if system.get_file_info(place).type == fs.FileType.NotFound:
-        return {}
-    table = ds.dataset(place, filesystem=system, format="parquet").to_table(columns=["seq", "shard", *columns])
-    found: dict[int, list[dict]] = {}
-    for row in table.sort_by([("seq", "ascending"), ("shard", "ascending")]).to_pylist():
-        found.setdefault(row["seq"], []).append(row)
-    return found
+        return Replies(iter(()))
+    found = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")]
+    return Replies(_stream(system, found, columns))
+
+
+def _stream(system, files: list[str], columns: list[str]) -> Iterator[dict]:
+    """Rows of sorted files in the order of chunks and shards; only a row group of each is held."""
+    import heapq
+
+    import pyarrow.parquet as pq
+
+    def rows(path: str) -> Iterator[dict]:
+        with system.open_input_file(path) as raw:
+            for batch in pq.ParquetFile(raw).iter_batches(64, columns=["seq", "shard", *columns]):
+                yield from batch.to_pylist()
+
+    if len(files) == 1:
+        return rows(files[0])
+    return heapq.merge(*map(rows, files), key=lambda r: (r["seq"], r["shard"]))
+
+
+class Replies:
+    """The replies to a task, read as its chunks come up."""
+
+    def __init__(self, rows: Iterator[dict]):
+        self.rows = rows
+        self.next = next(rows, None)
+
+    def of(self, seq: int, mark: int) -> list[dict]:
+        """The replies to a chunk; they must have been made for these rows."""
+        own = []
+        while self.next is not None and self.next["seq"] <= seq:
+            if self.next["seq"] == seq:
+                own.append(self.next)
+            self.next = next(self.rows, None)
+        if any(r["stamp"] != mark for r in own):
+            raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
+        return own
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -221,10 +283,3 @@ def shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each hashed key."""
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-
-def checked(replies: dict[int, list[dict]], seq: int, mark: int) -> list[dict]:
-    """The replies to a chunk; they must have been made for these rows."""
-    own = replies.get(seq, [])
-    if any(r["stamp"] != mark for r in own):
-        raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
-    return own

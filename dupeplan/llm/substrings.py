@@ -17,8 +17,10 @@ rounds of look-ups decide all windows:
 Look-ups go by hashed key to shards whose number follows the input, at most
 one entry for a key from a chunk of documents; a passage that very many
 documents hold costs a shard one entry for each chunk. Bytes are compared by
-64-bit hashes. Nulls are empty texts; null keys come last, rows with equal keys
-in the order in which they are read. An empty table gives an empty result.
+128 bits: runs by XXH3-128, windows by two independent polynomial hashes. Nulls
+are empty texts. Keys are integers (others raise an error); null ones come last,
+rows with equal keys in the order in which they are read. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -28,36 +30,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from dupeplan.llm.common import bound_batches, buffers, checked, chunks, give_back, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
+from dupeplan.llm.common import answered, bound_batches, buffers, chunks, fixed_splits, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, write_replies
 
 PICK = 32
 BLOCK = 1 << 17
 #: Text bytes of a chunk.
 CHUNK = 4 << 20
-BASE = 0x9E3779B97F4A7C15
+#: Bases of two polynomial hashes modulo 2**64.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 RUNS, PICKS, WINDOWS = 0, 1, 2
 REQUEST = "kind int, shard int, task int, seq int, stamp long, keys binary, extra binary"
 
 
-#: By size, what ``_powers`` has computed in this process.
-_KNOWN: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+#: By base, the size and what ``_powers`` has computed in this process.
+_KNOWN: dict[int, tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, and a random number for each byte value."""
-    if n in _KNOWN:
-        return _KNOWN[n]
-    inverse = pow(BASE, -1, 1 << 64)
+    if _KNOWN.get(base, (0,))[0] == n:
+        return _KNOWN[base][1]
+    inverse = pow(base, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
+        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
         down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
-        table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-    _KNOWN.clear()
-    _KNOWN[n] = up, down, table
-    return _KNOWN[n]
+        table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
+    _KNOWN[base] = n, (up, down, table)
+    return _KNOWN[base][1]
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,7 +75,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Scan:
-    """Runs of a chunk of documents: first and last window start, pick, hash of their bytes, whether the pick repeats inside."""
+    """Runs of a chunk of documents: first and last window start, pick, hash of their bytes (whole, and more for its other half), whether the pick repeats inside."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, length: int):
         self.offsets, self.data, self.length = offsets, data, length
@@ -79,13 +84,13 @@ class Scan:
         for s in range(0, total - length + 1, BLOCK):
             self._block(s, min(s + BLOCK, total - length + 1))
         empty = np.zeros(0, np.int64)
-        self.first, self.last, self.pick, self.whole, self.repeats = (
-            (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool))
-        )
+        self.first, self.last, self.pick, self.repeats = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (empty, empty, empty.astype(np.uint64), empty.astype(bool))
+        raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+        self.whole, self.more = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.first.tolist(), (self.last + length).tolist())]), np.uint64).reshape(-1, 2).T.copy()
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
 
-    def _sums(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down, table = _powers(BLOCK + self.length)
+    def _sums(self, s: int, e: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+        up, down, table = _powers(BLOCK + self.length, base)
         m = e - s
         sums = np.zeros(m + 1, np.uint64)
         np.cumsum(table[self.data[s:e]] * down[:m], out=sums[1:])
@@ -112,17 +117,16 @@ class Scan:
             if not len(first):
                 return
             pick = least[first]
-            whole = mixed((sums[last + length] - sums[first]) * up[first] + (last - first).astype(np.uint64))
             around = np.arange(width)
             left = grams[first[:, None] + around] == pick[:, None]
             right = grams[last[:, None] + around] == pick[:, None]
             same = (left.argmax(1) + first == right.argmax(1) + last) & (left.sum(1) == 1) & (right.sum(1) == 1)
             pick = mixed(pick)  # minima lie low; shards split the whole range
-        self.parts.append((first + s, last + s, pick, whole, ~same))
+        self.parts.append((first + s, last + s, pick, ~same))
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of all windows of the marked runs."""
-        starts, hashes = [], []
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, other hash) of all windows of the marked runs."""
+        starts, hashes, more = [], [], []
         first, last = self.first[which], self.last[which]
         for s in range(0, len(self.data), BLOCK):
             a, b = np.searchsorted(first, [s, s + BLOCK])
@@ -131,16 +135,18 @@ class Scan:
             counts = last[a:b] - first[a:b] + 1
             at = np.repeat(first[a:b] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             with np.errstate(over="ignore"):
-                sums, up = self._sums(s, int(at[-1]) + self.length)
-                hashes.append(mixed((sums[at - s + self.length] - sums[at - s]) * up[at - s]))
+                for base, out in ((BASE, hashes), (SECOND, more)):
+                    sums, up = self._sums(s, int(at[-1]) + self.length, base)
+                    out.append(mixed((sums[at - s + self.length] - sums[at - s]) * up[at - s]))
             starts.append(at)
-        return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        none = np.zeros(0, np.uint64)
+        return (np.concatenate(starts), np.concatenate(hashes), np.concatenate(more)) if starts else (none.astype(np.int64), none, none)
 
 
-def _firsts(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first entry of each distinct key by rank, and for every entry the number of its key."""
-    by = np.lexsort((rank, keys))
-    new = np.concatenate([[True], keys[by][1:] != keys[by][:-1]]) if len(keys) else np.zeros(0, bool)
+def _firsts(keys: np.ndarray, more: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first entry of each distinct key (both halves) by rank, and for every entry the number of its key."""
+    by = np.lexsort((rank, more, keys))
+    new = np.concatenate([[True], (keys[by][1:] != keys[by][:-1]) | (more[by][1:] != more[by][:-1])]) if len(keys) else np.zeros(0, bool)
     group = np.zeros(len(keys), np.int64)
     group[by] = np.cumsum(new) - 1
     return by[new], group
@@ -153,14 +159,14 @@ class Chunk:
         self.offsets, self.data = buffers(table.column(1))
         self.scan, self.shards = Scan(self.offsets, self.data, length), shards
         keys = table.column(0).combine_chunks()
-        self.ids = np.where(keys.is_valid().to_numpy(zero_copy_only=False), pa.compute.fill_null(keys, 0).to_numpy(zero_copy_only=False), np.iinfo(np.int64).max)
+        self.ids = np.where(keys.is_valid().to_numpy(zero_copy_only=False), pa.compute.fill_null(keys, 0).to_numpy(zero_copy_only=False), np.iinfo(np.int64).max).astype(np.int64)
         self.rank = np.empty(len(self.ids), np.int64)
         self.rank[np.argsort(self.ids, kind="stable")] = np.arange(len(self.ids))
 
-    def _asked(self, keys: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def asked(self, keys: np.ndarray, more: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First entries of distinct keys, by shard and then by place; all entries' key numbers; shard of each."""
         order = (self.rank[doc] << np.int64(40)) + starts - self.offsets[doc]
-        firsts, group = _firsts(keys, order)
+        firsts, group = _firsts(keys, more, order)
         shard = shards_of(keys[firsts], self.shards)
         by = np.lexsort((order[firsts], shard))
         back = np.empty(len(firsts), np.int64)
@@ -169,7 +175,7 @@ class Chunk:
 
     def runs(self):
         s = self.scan
-        return self._asked(s.whole, s.first, s.doc)
+        return self.asked(s.whole, s.more, s.first, s.doc)
 
     def picks(self):
         """Distinct picks by shard, every run's number among them, their shards, and least and most of the runs' hashes."""
@@ -224,13 +230,12 @@ def _answer(table: pa.Table) -> pa.Table:
         marks = np.empty(len(keys), bool)
         marks[by] = np.repeat(several, np.diff(np.append(starts, len(keys))))
     else:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("extra").to_pylist()])
+        more, ids = (np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1)[i] for x in table.column("extra").to_pylist()]) for i in (0, 1))
         marks = np.zeros(len(keys), bool)
-        marks[_firsts(keys, ids)[0]] = True
+        marks[_firsts(keys, more, ids.view(np.int64))[0]] = True
     split = np.split(marks, np.cumsum(counts)[:-1])
     out = table.select(["task", "seq", "shard", "kind", "stamp"])
     out = out.append_column("n", pa.array(counts, pa.int32()))
-    give_back()
     return out.append_column("bits", pa.array([np.packbits(x).tobytes() for x in split], pa.binary()))
 
 
@@ -248,8 +253,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     if length < 2 * PICK:
         raise ValueError(f"length must be at least {2 * PICK}")
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"keys must be integers: {key}")
     spark = docs.sparkSession
     bound_batches(spark)
+    fixed_splits(spark)
     plain = docs.select(key, text)
     shards = shard_count(spark, text_bytes(docs, text))
     columns = ["kind", "stamp", "n", "bits"]
@@ -259,7 +267,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             firsts, _, shard = chunk.runs()
-            rows = list(_requests(RUNS, shard, chunk.scan.whole[firsts], chunk.ids[chunk.scan.doc[firsts]], task, seq, mark))
+            own = np.stack([chunk.scan.more[firsts], chunk.ids[chunk.scan.doc[firsts]].view(np.uint64)])
+            rows = list(_requests(RUNS, shard, chunk.scan.whole[firsts], own, task, seq, mark))
             keys, _, shard, low, high = chunk.picks()
             rows += _requests(PICKS, shard, keys, np.stack([low, high - low]), task, seq, mark)
             yield from pa.Table.from_pylist(rows, request_schema).to_batches()
@@ -269,11 +278,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         replies = read_replies(coarse, task, columns)
         for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
-            _, open_runs = chunk.copied_runs(checked(replies, seq, mark))
-            starts, hashes = chunk.scan.windows(open_runs)
+            _, open_runs = chunk.copied_runs(replies.of(seq, mark))
+            starts, hashes, more = chunk.scan.windows(open_runs)
             doc = np.searchsorted(chunk.offsets, starts, "right") - 1
-            firsts, _, shard = chunk._asked(hashes, starts, doc)
-            yield from pa.Table.from_pylist(list(_requests(WINDOWS, shard, hashes[firsts], chunk.ids[doc[firsts]], task, seq, mark)), request_schema).to_batches()
+            firsts, _, shard = chunk.asked(hashes, more, starts, doc)
+            own = np.stack([more[firsts], chunk.ids[doc[firsts]].view(np.uint64)])
+            yield from pa.Table.from_pylist(list(_requests(WINDOWS, shard, hashes[firsts], own, task, seq, mark)), request_schema).to_batches()
 
     def removes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -281,11 +291,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for seq, table in chunks(batches, text, CHUNK):
             chunk, mark = Chunk(table, length, shards), stamp(table, key, text)
             scan = chunk.scan
-            copied, open_runs = chunk.copied_runs(checked(replies, seq, mark))
-            starts, hashes = scan.windows(open_runs)
-            firsts, group, _ = chunk._asked(hashes, starts, np.searchsorted(chunk.offsets, starts, "right") - 1)
+            copied, open_runs = chunk.copied_runs(replies.of(seq, mark))
+            starts, hashes, more = scan.windows(open_runs)
+            firsts, group, _ = chunk.asked(hashes, more, starts, np.searchsorted(chunk.offsets, starts, "right") - 1)
             again = np.ones(len(starts), bool)
-            again[firsts] = ~bits(checked(finer, seq, mark), WINDOWS, len(firsts))
+            again[firsts] = ~bits(finer.of(seq, mark), WINDOWS, len(firsts))
             steps = np.zeros(len(scan.data) + 1, np.int32)
             np.add.at(steps, np.concatenate([scan.first[copied], starts[again]]), 1)
             np.add.at(steps, np.concatenate([scan.last[copied], starts[again]]) + length, -1)
@@ -313,8 +323,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     request_schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    coarse = write_replies(plain.mapInArrow(asks, REQUEST).repartition(2 * shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, REPLY), "runs")
-    fine = write_replies(plain.mapInArrow(asks_windows, REQUEST).repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_answer, REPLY), "windows")
+    coarse = write_replies(answered(plain.mapInArrow(asks, REQUEST), F.col("kind") * shards + F.col("shard"), 2 * shards, _answer, REPLY), "runs", shards)
+    fine = write_replies(answered(plain.mapInArrow(asks_windows, REQUEST), F.col("shard"), shards, _answer, REPLY), "windows", shards)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept string" * keep
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

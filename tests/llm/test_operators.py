@@ -146,29 +146,51 @@ def test_masks_cover_every_pair():
 def test_language_scores(docs, rows, none):
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     held = [zlib.crc32((str(k) if k is not None else "").encode()) % 10 == 0 for k, _ in rows]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for t, h in zip(tokens, held, strict=True):
         if not h:
             one.update(t)
-            two.update(zip(t, t[1:]))
-    n, v, strength = sum(one.values()), len(one), language.STRENGTH
+            two.update(zip([None, *t], t))
+            three.update(zip([None, *t], t, t[1:]))
+    n, v, (s1, s2) = sum(one.values()), len(one), language.STRENGTH
     p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    after = lambda a, w: (two[a, w] + s1 * p(w)) / (one[a] + s1) if one[a] else p(w)
+    after_two = lambda a, b, w: (three[a, b, w] + s2 * after(b, w)) / (two[a, b] + s2) if two[a, b] >= 2 else after(b, w)
     want = []
     for (k, _), t, h in zip(rows, tokens, held, strict=True):
-        score = math.log10(p(t[0])) + sum(math.log10((two[a, b] + strength * p(b)) / (one[a] + strength)) for a, b in zip(t, t[1:]))
+        score = math.log10(after(None, t[0])) + sum(math.log10(after_two(*x)) for x in zip([None, *t], t, t[1:]))
         want.append((k, h, len(t), sum(one[w] > 0 for w in t), n, round(sum(math.log10(p(w)) for w in t), 6), round(score, 6)))
     got = language.scores(docs, language.held_by_key())
     assert tally(r[:5] + (round(r[5], 6), round(r[6], 6)) for r in as_rows(got)) == tally(want)
+    assert sum(two[x] >= 2 for t in tokens for x in zip(t, t[1:])) > 1000  # states of two words are met
     assert as_rows(language.scores(none, language.held_by_key())) == []
 
 
-def test_probabilities_after_a_word_sum_to_one():
-    counts, pairs = np.array([3, 2, 4]), {(0, 1): 2, (0, 2): 1}
-    unigram = (counts + 0.1) / (counts.sum() + 0.4)
-    keys = np.array(sorted(a * 3 + b for a, b in pairs))
-    model = language.Automaton(3, unigram, counts, keys, np.array([pairs[k // 3, k % 3] for k in keys.tolist()]), 5.0)
-    unseen = 0.1 / (counts.sum() + 0.4) * 5 / (3 + 5)
-    assert sum(10 ** (model.walk([0, w]) - model.walk([0])) for w in range(3)) + unseen == pytest.approx(1)
+def test_language_scores_in_many_chunks(spark, docs, monkeypatch):
+    """Small chunks, many shards and other splits give the same scores."""
+    want = tally(r[:5] + (round(r[5], 6), round(r[6], 6)) for r in as_rows(language.scores(docs, language.held_by_key())))
+    monkeypatch.setattr(language, "CHUNK", 3000)
+    stored = materialize(docs.repartition(5), "spread")
+    got = language.scores(stored, language.held_by_key())
+    assert tally(r[:5] + (round(r[5], 6), round(r[6], 6)) for r in as_rows(got)) == want
+
+
+def test_probabilities_after_a_context_sum_to_one():
+    """Words 0 to 2 and an unseen one, 3; the context is the pair (0, 1)."""
+    texts = [[0, 1, 2], [0, 1, 0], [0, 1, 2], [1, 2, 2]]
+    one = np.bincount(np.concatenate(texts), minlength=4)
+    two = Counter(x for t in texts for x in zip(t, t[1:]))
+    three = Counter(tuple(t) for t in texts)
+    every = [(a, b) for a in range(4) for b in range(4)]
+    unigram = (one + 0.1) / (one.sum() + 0.4)
+    before, after = np.array(every).T
+    model = language.Automaton(unigram, one, before, after, np.array([two[x] for x in every]), np.full(4, 1), np.array([4 + w for w in range(4)]), np.array([three[0, 1, w] for w in range(4)]), (5.0, 2.0))
+    w = np.arange(4)
+    for pairs, contexts, triples in ((4 + w, np.full(4, -1), np.full(4, -1)), (4 + w, np.full(4, 1), w)):
+        # The words after 1 are seen less often than 1 where a text ends there.
+        lost = (one[1] - sum(two[1, x] for x in range(4))) / (one[1] + 5.0)
+        share = 1.0 if contexts[0] < 0 else 2.0 / (two[0, 1] + 2.0)
+        assert (10 ** model.walk(w, np.full(4, 1), pairs, contexts, triples)).sum() + lost * share == pytest.approx(1)
 
 
 # Packing
@@ -439,6 +461,8 @@ def test_repeated_spans(docs, rows, none):
     got = [(k, n, r, [tuple(x) for x in s], h) for k, n, r, s, h in as_rows(substrings.repeated_spans(docs))]
     assert tally(got) == tally(repeats(rows, 100))
     assert as_rows(substrings.repeated_spans(none)) == []
+    with pytest.raises(ValueError, match="integers"):
+        substrings.repeated_spans(docs, key="source")
     kept = substrings.repeated_spans(docs, keep=True, carry=("lang",))
     assert kept.columns[-2:] == ["kept", "lang"] and kept.where("n_removed = 0 AND octet_length(kept) <> n_bytes").isEmpty()
 
@@ -517,3 +541,5 @@ def test_chunks_do_not_depend_on_batches():
     table = pa.table({"text": texts})
     cut = lambda size: [(n, t.column(0).to_pylist()) for n, t in chunks(iter(table.to_batches(max_chunksize=size)), "text", 64)]
     assert cut(1) == cut(3) == cut(100) and [x for _, t in cut(2) for x in t] == texts
+    blank = pa.table({"text": pa.array([None, ""] * 50, pa.string())})
+    assert [t.num_rows for _, t in chunks(iter(blank.to_batches(max_chunksize=7)), "text", 64, 30)] == [30, 30, 30, 10]
