@@ -322,23 +322,47 @@ def test_url_trees_learn_and_match_their_expression(spark):
 # WARC
 
 
-def test_warc_round_trip(spark):
-    pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (1, "v", "same"), (None, "w", "alone é"), (None, "w", "same"), *((10 + i, f"http://h/{i}", f"<html>{i} " + "body text " * i) for i in range(40))]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = tally(as_rows(warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")))
-    first, want, seen = {}, [], set()
-    for k, _, h in pages:
-        first[h or ""] = min([x for x in (first.get(h or ""), k) if x is not None], default=None)
-    for k, _, h in pages:
+def revisits(pages):
+    """What the archives must say of (key, url, html) rows in the order of reading."""
+    place = lambda i: (pages[i][0] is None, pages[i][0] or 0, i)
+    first = {}
+    for i, (_, _, h) in enumerate(pages):
+        if (h or "") not in first or place(i) < place(first[h or ""]):
+            first[h or ""] = i
+    out = []
+    for i, (k, _, h) in enumerate(pages):
         b = (h or "").encode()
-        lead = k == first[h or ""] and h or ""
-        new = k == first[h or ""] and (h or "") not in seen
-        if new:
-            seen.add(h or "")
-        del lead
-        want.append((k, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if new else "revisit", None if new else first[h or ""]))
-    assert got == tally(want)
+        digest = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        out.append((k, len(b), digest, *(("response", None) if first[h or ""] == i else ("revisit", pages[first[h or ""]][0]))))
+    return out
+
+
+PAGES = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (1, "v", "same"), (None, "w", "alone é"), (None, "w", "same"), *((10 + i, f"http://h/{i}", f"<html>{i} " + "body text " * i) for i in range(40)), (60, "x" * 70_000, "long " * 60_000), (61, "y", "long " * 60_000), (-4, "z", "<html>3 " + "body text " * 3), (None, "only nulls", "n"), (None, "only nulls", "n")]
+
+
+@pytest.mark.parametrize("chunk_rows", [1 << 16, 4])
+def test_warc_round_trip(spark, monkeypatch, chunk_rows):
+    monkeypatch.setattr(warc, "chunks", lambda batches, text: chunks(batches, text, most=chunk_rows))
+    df = materialize(spark.createDataFrame([(k, u, h, 7, "x") for k, u, h in PAGES], "page_id long, url string, html string, key int, kind string").coalesce(1), "pages")
+    stored = [(r["page_id"], r["url"], r["html"]) for r in df.collect()]
+    got = tally(as_rows(warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")))
+    assert got == tally(revisits(stored))
     assert warc.round_trip(df.where("false")).isEmpty()
+    with pytest.raises(ValueError, match="integers"):
+        warc.round_trip(df, key="kind")
+
+
+def test_warc_left_over_archives(spark, tmp_path):
+    """Archives of attempts that do not count stay in the folder and are not read; without a list, all of a folder are."""
+    df, folder = spark.createDataFrame(PAGES, "page_id long, url string, html string"), f"file://{tmp_path}/w"
+    lost = warc.write_archives(df.where("page_id < 20"), folder)
+    written = warc.write_archives(df, folder)
+    names = lambda t: {r["archive"] for r in t.collect()}
+    assert not names(lost) & names(written)
+    assert warc.read_archives(spark, folder, archives=written).count() == len(PAGES) == written.groupBy().sum("n_records").first()[0]
+    assert warc.read_archives(spark, folder).count() == len(PAGES) + df.where("page_id < 20").count()
+    payloads = {r["key"]: r["payload"] for r in warc.read_archives(spark, folder, True, written).where("key IS NOT NULL AND record_type = 'response'").collect()}
+    assert all(payloads[k] == (h or "").encode() for k, _, h in PAGES if k in payloads) and len(payloads) > 40
 
 
 def test_warc_errors():
