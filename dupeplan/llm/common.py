@@ -94,6 +94,19 @@ def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.orderBy(hashed, key).limit(n)
 
 
+def hot_joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` on the key; ``table`` has each key once, with the number of its rows in ``count``; ``total`` is at least that of all rows.
+
+    Keys of more than a 50,000th of all rows (and of 256 rows) are fewer than
+    50,000: their part of the table is broadcast, so that their rows stay where
+    they are. The others are shuffled; none of them is a large share of a task.
+    """
+    bound = max(256, -(-total // 50_000))
+    hot, cold = F.broadcast(table.where(F.col(count) > bound)), table.where(F.col(count) <= bound)
+    stay = rows.join(hot, key)
+    return stay.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def shard_count(spark: SparkSession, request_bytes: int) -> int:
     """Shards of a routed look-up; their number follows the input, so that each stays of one size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-request_bytes // SHARD_BYTES), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import materialize
+from dupeplan.llm.common import hot_joined, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,8 +15,8 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node reachable.
 
-    Each step groups on nodes with partial minima and joins them back, so a
-    node with very many links is an equi-join key that Spark can split. No
+    Each step groups on nodes with partial minima and joins them back; rows of
+    a node with very many links stay where they are. No
     pairs within a component are made: edges never outnumber the input's.
     Loops are ignored; no edges give an empty table.
     """
@@ -25,8 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = hot_joined(both.where("b > a"), least, "a", "n", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")

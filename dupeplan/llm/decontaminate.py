@@ -9,7 +9,8 @@ offset-adjusted positions from the rarest word on. With a slop, words may stand
 that far from their places (proximity).
 
 Test items are taken in blocks of bounded size, each against the whole index,
-so that neither the driver nor an executor ever holds more than a block.
+so that neither the driver nor an executor ever holds more than a block (and
+the text of one item); long items are cut into several blocks.
 
 Null and empty texts have no words; an item without words has no window.
 Repeated rows, and rows with equal or null keys, are judged row by row. An
@@ -77,8 +78,8 @@ class Block:
         self.windows: dict[tuple[int, ...], set[str]] = {}
         self.n = 0
 
-    def add(self, item: str, text: str | None) -> None:
-        words = (text or "").encode().translate(LETTERS).split()
+    def add(self, item: str, words: list[bytes]) -> None:
+        """Adds the windows of an item, or of a part of one."""
         ids = [self.words.setdefault(w, len(self.words)) for w in words]
         self.n += len(ids)
         for i in range(max(1, len(ids) - self.size + 1) if ids else 0):
@@ -86,13 +87,22 @@ class Block:
 
 
 def blocks_of(items: DataFrame, key: str, text: str, size: int, most: int) -> Iterator[Block]:
-    """Blocks of whole items with about ``most`` words each; rows come to the driver partition by partition."""
+    """Blocks of items with about ``most`` words each; rows come to the driver partition by partition.
+
+    An item that is longer than the rest of a block goes on in the next one,
+    from the first window that is not in a block yet.
+    """
     block = Block(size)
     for item, body in items.select(F.coalesce(F.col(key).cast("string"), F.lit("")), text).toLocalIterator():
-        block.add(item, body)
-        if block.n >= most:
-            yield block
-            block = Block(size)
+        words = (body or "").encode().translate(LETTERS).split()
+        start = 0
+        while start < max(1, len(words) - size + 1):
+            part = words[start : start + max(size, most - block.n)]
+            block.add(item, part)
+            start += max(1, len(part) - size + 1)
+            if block.n >= most:
+                yield block
+                block = Block(size)
     if block.n:
         yield block
 
@@ -193,14 +203,14 @@ def search(index: DataFrame, block: Block | None, key: str = "doc_id", slop: int
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 13, slop: int = 4, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: key, n_words, spans of hit words, n_hit, items, near."""
-    index = build_index(docs, key, text)
-    parts = [search(index, block, key, slop) for block in blocks_of(items, item_key, item_text, size, block_words)] or [search(index, None, key, slop)]
+    index = build_index(docs.select(F.col(key).alias("_key"), text), "_key", text)
+    parts = [search(index, block, "_key", slop) for block in blocks_of(items, item_key, item_text, size, block_words)] or [search(index, None, "_key", slop)]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part.where("size(near) > 0"))
     if len(parts) > 1:
         merged = found.groupBy("task", "seq", "row").agg(
-            F.first(key).alias(key),
+            F.first("_key").alias("_key"),
             F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -209,7 +219,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         joined = "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> CASE WHEN size(a) > 0 AND get(a, size(a) - 1).end >= x.start THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', get(a, size(a) - 1).start, 'end', greatest(get(a, size(a) - 1).end, x.end)))) ELSE concat(a, array(x)) END)"
         found = merged.withColumn("spans", F.expr(joined))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select(key, "n_words", "spans", hit.alias("n_hit"), "items", "near")
+    return found.select(F.col("_key").alias(key), "n_words", "spans", hit.alias("n_hit"), "items", "near")
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):

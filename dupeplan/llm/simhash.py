@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import bound_batches, buffers, materialize
+from dupeplan.llm.common import bound_batches, buffers, hot_joined, materialize
 from dupeplan.llm.components import connected_components
 
 #: Distinct fingerprints of a bucket that one task compares; larger buckets go by midpoints.
@@ -134,13 +134,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """(key, fp, component_id) for every row; component_id is the smallest key among the rows reachable by links."""
     bound_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, key, text, shingle, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n_rows")), "distinct")
+    n_rows, n_prints = prints.count(), distinct.count()
     roots = materialize(connected_components(near_links(distinct.select("fp"), radius)), "roots").withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
-    labels = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp", "left").select(key, "fp", "component_id")
+    linked = materialize(distinct.join(roots, "fp"), "linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_prints"))
+    named = hot_joined(linked.select("fp", "root"), smallest, "root", "n_prints", n_prints).select("fp", "component_id")
+    labels = materialize(distinct.join(named, "fp", "left").select("fp", "n_rows", F.coalesce("component_id", "least").alias("component_id")), "labels")
+    return hot_joined(prints, labels, "fp", "n_rows", n_rows).select(key, "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from dupeplan.llm import decontaminate, language, license, packing, quality, simhash, substrings, toxicity, urls, warc
-from dupeplan.llm.common import chunks, materialize
+from dupeplan.llm.common import chunks, hot_joined, materialize
 from dupeplan.llm.components import connected_components
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -96,6 +96,32 @@ def test_links_of_large_buckets(spark, bucket):
             assert (roots.get(signed(a), signed(a)) == roots.get(signed(b), signed(b))) == (want[a] == want[b])
 
 
+@pytest.mark.parametrize(("radius", "seed"), [(4, 11), (4, 12), (3, 13), (2, 14)])
+def test_links_of_random_fingerprints(spark, radius, seed):
+    """Clusters over all 64 bits, bit 63 among them; buckets of any size give brute force's components."""
+    rng = np.random.default_rng(seed)
+    prints = set()
+    for _ in range(12):
+        center = int.from_bytes(rng.bytes(8), "big")
+        for _ in range(8):
+            flips = [63, *rng.choice(63, rng.integers(0, radius + 2), replace=False).tolist()][int(rng.integers(2)) :]
+            prints.add(center ^ sum(1 << int(b) for b in flips))
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = materialize(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), "t")
+    for bucket in (16_384, 3):
+        found = connected_components(materialize(simhash.near_links(df, radius, bucket), "t"))
+        assert_same_groups(list(prints), {r["node"]: r["root"] for r in found.collect()}, radius)
+
+
+def test_hot_keys_stay_in_place(spark):
+    """Rows of keys with many rows and of others get the same answers."""
+    rows = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1200)], "k long, i long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("m"))
+    want = sorted((r["k"], r["i"], r["m"]) for r in rows.join(table, "k").collect())
+    got = hot_joined(rows, table, "k", "n", 1200)
+    assert sorted((r["k"], r["i"], r["m"]) for r in got.collect()) == want and len(want) == 1200
+
+
 def test_links_across_the_top_bit(spark):
     """Near copies of three and more fingerprints in one bucket whose differing bits include bit 63."""
     signed = lambda p: p - (1 << 64) if p >> 63 else p
@@ -268,6 +294,19 @@ def contamination(rows, items, size=13):
     return out
 
 
+def test_blocks_hold_every_window_once(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(n))) for i, n in enumerate((100, 3, 0, 13, 14, 40, 1))]
+    table = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(decontaminate.blocks_of(table, "item_id", "text", 13, 30))
+    found = Counter()
+    for b in blocks:
+        assert b.n <= 30 + 13
+        words = list(b.words)
+        found.update((tuple(words[i] for i in w), item) for w, items in b.windows.items() for item in items)
+    want = Counter((tuple(x.encode() for x in t.split()[i : i + 13]), str(k)) for k, t in rows for i in range(max(1, len(t.split()) - 12) if t else 0))
+    assert found == want
+
+
 @pytest.mark.parametrize("block", [1_000_000, 30])
 def test_decontamination(spark, docs, rows, none, block):
     long = next(t for k, t in rows if k == 99)
@@ -456,6 +495,46 @@ def test_learned_list():
     assert (said & bad[2000:]).sum() > 0.9 * bad[2000:].sum() and (said & ~bad[2000:]).sum() < 0.05 * said.sum()
 
 
+def features(text):
+    """The learned list's inputs by brute force."""
+    w, t = spaced(text), text or ""
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    counts = Counter(windows)
+    again = len({j for i, x in enumerate(windows) if counts[x] > 1 for j in (i, i + 1, i + 2)})
+    lines = [x for x in t.split("\n") if spaced(x)]
+    n, chars, m = max(len(w), 1), max(sum(map(len, w)), 1), max(len(lines), 1)
+    of = lambda pattern: len(re.findall(pattern, t))
+    found = {"mean_word_chars": sum(map(len, w)) / n, "symbols_per_word": of("[#*$%&|<>]") / n, "marks_per_word": of("[!?]") / n, "upper_share": of("[A-Z]") / chars, "digit_share": of("[0-9]") / chars}
+    found |= {"dup_line_share": (len(lines) - len(set(lines))) / m, "repeat_share": again / n, "words_per_line": len(w) / m}
+    return found, len(w) < 50 or 100 * again > 50 * len(w)
+
+
+@pytest.mark.parametrize("n", [120, 900])
+def test_kept_by_learned_rules(spark, n):
+    """A list is learned from few and from many labels; what it keeps is what brute force over its conditions keeps; clashing columns give way."""
+    rng = np.random.default_rng(n)
+    words = [f"wo{i}rd" for i in range(400)]
+    marks = {0: ["", "", "", " #"], 1: [" *#$%", " |<>&"], 2: ["!", "!!", "?!"]}
+    kind = [0 if i % 6 else 1 + i // 6 % 2 for i in range(n)]
+    text = lambda k: " ".join(str(rng.choice(words)) + str(rng.choice(marks[k])) for _ in range(int(rng.integers(30, 120))))
+    rows = [(i, text(k), 777, "mine") for i, k in enumerate(kind)]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept string"), "t")
+    labels = spark.createDataFrame([(i, int(k == 0)) for i, k in enumerate(kind)], "doc_id long, quality int")
+    rules = quality.learn_rules(df, labels)
+    assert rules
+    want = {}
+    for i, t, *_ in rows:
+        found, failed = features(t)
+        fires = [all(found[f] <= c if op == "<=" else found[f] > c for f, op, c in r.conditions) for r in rules]
+        want[i] = (fires.index(True) + 1 if any(fires) else 0, not failed and not any(fires))
+    got = {r["doc_id"]: (r["rule"], r["kept"]) for r in quality.judge(df, rules).collect()}
+    assert got == want
+    passed = [i for i, t, *_ in rows if not features(t)[1]]
+    caught = [i for i in passed if not want[i][1]]
+    bad = [i for i in passed if kind[i]]
+    assert len(set(caught) & set(bad)) > 0.8 * len(bad) and len(set(caught) - set(bad)) <= 0.02 * len(passed)
+
+
 def test_rules_from_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 0), (2, 1)], "doc_id long, quality int")
     assert isinstance(quality.learn_rules(docs, labels), list)
