@@ -2,13 +2,15 @@
 
 Parsing, features, statistics of host suffixes and scores are DataFrame
 expressions; the trees become sums of conditional expressions. Only boosting
-runs in numpy on the driver, on a bounded sample of labelled URLs. Statistics
-of suffixes count every labelled row.
-
-A null URL, or one without ``://``, has an empty host and path. Rows are judged
-one by one, repeated ones alike. Without labelled URLs of both kinds every score
-is the share of blocked ones (0 without any). An empty table gives an empty
-result; other columns are ignored.
+runs in numpy on the driver, on a bounded sample of distinct labelled URLs.
+Statistics of suffixes count every labelled row; those that a URL is trained
+with leave out all hosts of its fold, so that no URL's label is among its own
+inputs.
+
+A null URL, or one without ``://``, has an empty host and path. URLs may be of
+any length. Rows are judged one by one, repeated ones alike. Without labelled
+URLs of both kinds every score is the share of blocked ones (0 without any). An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import hashed_sample, materialize
+from dupeplan.llm.common import hashed_sample, hot_joined, materialize
 
 #: Labelled URLs from which trees are boosted: those with the smallest hashes.
 SAMPLE = 10_000
+#: Parts of the hosts, by hash; a URL's suffix statistics in training come from the other parts.
+FOLDS = 5
 #: (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"),
@@ -53,8 +57,13 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     return pages.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
+def with_suffixes(pages: DataFrame) -> DataFrame:
+    """Adds tld and domain (the last label of the host, and the last two), and fold (of the host)."""
+    return pages.withColumns({"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2), "fold": F.pmod(F.xxhash64("host", F.lit(13)), F.lit(FOLDS)).cast("int")})
+
+
 def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the lexical features, and tld and domain (the last label of the host, and the last two)."""
+    """Adds the lexical features but the suffix statistics."""
     whole = F.coalesce(F.col(url), F.lit(""))
     query = F.regexp_extract(whole, "\\?([^#]*)", 1)
     length = F.length(whole)
@@ -73,16 +82,16 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
             "hyphens": F.regexp_count(whole, F.lit("-")),
             "fragment": F.contains(whole, F.lit("#")).cast("int"),
             "secure": F.startswith(whole, F.lit("https://")).cast("int"),
-            "tld": F.substring_index("host", ".", -1),
-            "domain": F.substring_index("host", ".", -2),
         }
     )
 
 
-def _rates(labelled: DataFrame, column: str) -> DataFrame:
-    """Smoothed share of blocked URLs for each suffix; every labelled row counts."""
-    rates = labelled.groupBy(column).agg(((F.sum("blocked") + 1) / (F.count("*") + 2)).alias(f"{column}_rate"))
-    return materialize(rates, "rates")  # its size is known when the joins are planned
+def suffix_statistics(pages: DataFrame, column: str) -> DataFrame:
+    """(column, n_rows, b, n, b0, n0, ...): of every suffix its rows, and blocked and labelled rows in all and in each fold; ``blocked`` is null without a label."""
+    own = lambda f: (F.col("fold") == f) & F.col("blocked").isNotNull()
+    folds = [x for f in range(FOLDS) for x in (F.count_if(own(f) & (F.col("blocked") == 1)).alias(f"b{f}"), F.count_if(own(f)).alias(f"n{f}"))]
+    whole = pages.groupBy(column).agg(F.count("*").alias("n_rows"), F.count_if(F.col("blocked") == 1).alias("b"), F.count("blocked").alias("n"), *folds)
+    return materialize(whole, "suffixes")
 
 
 @dataclass(frozen=True)
@@ -152,26 +161,47 @@ class Trees:
         return 1 / (1 + F.exp(-total))
 
 
+def _with_rates(rows: DataFrame, statistics: dict[str, DataFrame], total: int, apart: bool) -> DataFrame:
+    """Adds the smoothed shares of blocked URLs; ``apart`` leaves a row's own fold out."""
+    for column, table in statistics.items():
+        names = rows.columns
+        b, n = F.col("b"), F.col("n")
+        for f in range(FOLDS) if apart else ():
+            b, n = F.when(F.col("fold") == f, F.col("b") - F.col(f"b{f}")).otherwise(b), F.when(F.col("fold") == f, F.col("n") - F.col(f"n{f}")).otherwise(n)
+        rows = hot_joined(rows, table, column, "n_rows", total).select(*names, ((b + 1) / (n + 2)).alias(f"{column}_rate"))
+    return rows
+
+
+def trained(known: DataFrame, statistics: dict[str, DataFrame], total: int, url: str, sample: int) -> Trees:
+    """Trees from labelled rows (url, blocked): at most ``sample`` distinct ones."""
+    chosen = hashed_sample(known.select(url, "blocked").distinct(), F.col(url), sample)
+    rows = with_features(_with_rates(with_suffixes(parsed(chosen, url)), statistics, total, True), url)
+    got = rows.select("blocked", *[F.col(k).cast("double").alias(k) for k in FEATURES]).orderBy("blocked", *FEATURES).collect()
+    return Trees.boost({k: np.array([r[k] for r in got], float) for k in FEATURES}, np.array([r["blocked"] for r in got], float))
+
+
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per row: key, host, path, rule, verdict and score (the method's probability of a block).
 
     ``labelled`` has url and blocked (0 or 1); by default the URLs that a rule
     judges are the labelled ones.
     """
-    found = with_features(ruled(parsed(pages.select(key, url), url), rules), url)
-    if labelled is None:
-        known = found.where("rule IS NOT NULL").withColumn("blocked", (F.col("rule_verdict") == "block").cast("int"))
-    else:
-        known = with_features(parsed(labelled.select(F.col(url), "blocked"), url), url)
-    tld, domain = _rates(known, "tld"), _rates(known, "domain")
+    trees, statistics, total = learn(pages, url, rules, labelled, sample)
+    found = with_suffixes(ruled(parsed(pages.select(F.col(key).alias("_key"), F.col(url).alias("_url")), "_url"), rules))
+    scored = with_features(_with_rates(found, statistics, total, False), "_url").withColumn("score", trees.column())
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return scored.select(F.col("_key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "score")
 
-    def with_rates(df: DataFrame) -> DataFrame:
-        rated = df.join(tld, "tld", "left").join(domain, "domain", "left")
-        return rated.fillna(0.5, ["tld_rate", "domain_rate"])
 
-    chosen = hashed_sample(known, F.col(url), sample)
-    got = with_rates(chosen).select("blocked", *[F.col(k).cast("double").alias(k) for k in FEATURES]).collect()
-    trees = Trees.boost({k: np.array([r[k] for r in got], float) for k in FEATURES}, np.array([r["blocked"] for r in got], float))
-    scored = with_rates(found).withColumn("score", trees.column())
-    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
+def learn(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> tuple[Trees, dict[str, DataFrame], int]:
+    """(trees, statistics by suffix, number of rows counted); see ``judge``."""
+    found = ruled(parsed(pages.select(F.col(url).alias("_url")), "_url"), rules)
+    if labelled is None:
+        every = found.select("_url", "host", F.when(F.col("rule").isNotNull(), (F.col("rule_verdict") == "block").cast("int")).alias("blocked"))
+    else:
+        known = labelled.where(F.col("blocked").isin(0, 1)).select(F.col(url).alias("_url"), F.col("blocked").cast("int").alias("blocked"))
+        every = found.select("_url", "host", F.lit(None).cast("int").alias("blocked")).unionByName(parsed(known, "_url").select("_url", "host", "blocked"))
+    counted = with_suffixes(every)
+    statistics = {c: suffix_statistics(counted, c) for c in ("tld", "domain")}
+    total = statistics["tld"].agg(F.sum("n_rows")).first()[0] or 0
+    return trained(every.where("blocked IS NOT NULL"), statistics, total, "_url", sample), statistics, total

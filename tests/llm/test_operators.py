@@ -348,6 +348,55 @@ def test_urls(spark):
     assert urls.judge(pages.where("false")).isEmpty()
 
 
+def lexical(u):
+    """(host, features but the rates) of a URL by brute force."""
+    u = u or ""
+    rest = u.split("://", 1)[1] if "://" in u else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    query = (re.search(r"\?([^#]*)", u) or [None, ""])[1]
+    shares = [c / len(u) for c in Counter(u).values()]
+    values = [len(u), len(host), len(path), path.count("/"), host.count(".") + 1, len(re.findall("[0-9]", u)) / max(1, len(u)), -sum(x * math.log2(x) for x in shares), query.count("&") + 1 if query else 0, u.count("-"), int("#" in u), int(u.startswith("https://"))]
+    return host.translate(UP), dict(zip(urls.FEATURES, values))
+
+
+def test_url_scores(spark):
+    """Features, out-of-fold statistics, scores and verdicts against brute force; labels are given, URLs repeat, one is very long."""
+    rng = np.random.default_rng(3)
+    made = [f"http{'s' * int(rng.integers(2))}://{rng.choice(['a', 'b-c', 'D9'])}{int(rng.integers(9))}.{rng.choice(['x', 'y'])}.{rng.choice(['com', 'net', 'zz'])}/{'p/' * int(rng.integers(6))}{int(rng.integers(999))}{rng.choice(['', '?q=1', '?a=1&b=2#t', '#-'])}" for _ in range(300)]
+    made += [None, "", "x://", "no scheme", "http://" + "long-" * 20_000 + ".com/", *made[:20], *[made[0]] * 400]
+    toxic = lambda u: int(u is not None and (u.count("/") > 5 or "zz" in u))
+    pages = materialize(spark.createDataFrame(list(enumerate(made)), "page_id long, url string"), "t")
+    labelled = materialize(spark.createDataFrame([(u, toxic(u)) for u in made[:500]], "url string, blocked int"), "t")
+    trees, statistics, _ = urls.learn(pages, labelled=labelled)
+    assert len(trees.trees) > 5
+    fold = {r["host"]: r["fold"] for r in urls.with_suffixes(spark.createDataFrame([(lexical(u)[0],) for u in made], "host string")).collect()}
+    suffix = {"tld": lambda h: h.split(".")[-1], "domain": lambda h: ".".join(h.split(".")[-2:])}
+    held = Counter((c, f(lexical(u)[0]), fold[lexical(u)[0]], toxic(u)) for u in made[:500] for c, f in suffix.items())
+
+    def rate(c, host, apart):
+        own = [(y, n) for (k, s, f, y), n in held.items() if k == c and s == suffix[c](host) and not (apart and f == fold[host])]
+        return (sum(n for y, n in own if y) + 1) / (sum(n for _, n in own) + 2)
+
+    def value(node, x):
+        while isinstance(node, urls.Node):
+            node = node.below if x[node.feature] <= node.cut else node.above
+        return node.value
+
+    got = {r["page_id"]: r for r in urls.judge(pages, labelled=labelled, rules=urls.RULES[:1]).collect()}
+    assert len(got) == len(made)
+    for i, u in enumerate(made):
+        host, x = lexical(u)
+        x |= {f"{c}_rate": rate(c, host, False) for c in suffix}
+        p = 1 / (1 + math.exp(-trees.start - sum(value(t, x) for t in trees.trees)))
+        assert got[i]["score"] == pytest.approx(p, abs=1e-9), u
+        assert got[i]["verdict"] == ("block" if got[i]["rule"] or p >= 0.5 else "allow")
+    # In training a URL's own fold is left out.
+    chosen = urls.with_suffixes(urls.parsed(labelled.select("url").distinct()))
+    for r in urls._with_rates(chosen, statistics, 10_000, True).collect():
+        assert r["tld_rate"] == pytest.approx(rate("tld", r["host"], True)) and r["domain_rate"] == pytest.approx(rate("domain", r["host"], True))
+
+
 def test_url_trees_learn_and_match_their_expression(spark):
     rng = np.random.default_rng(0)
     rows = {k: rng.random(2000) for k in ("a", "b", "c")}
