@@ -10,7 +10,8 @@ Windows are dealt to step groups, the longest first, each to the group with the
 fewest tokens so far.
 
 Chunks of documents are packed where they are read: no shuffle, and a lost task
-is simply run again. Null and empty texts are documents of the end token alone.
+is simply run again. Sequences, step groups and what is left over at the end are
+those of a chunk of 8 MB. Null and empty texts are documents of the end token alone.
 Repeated rows and null keys are packed like any others. An empty table gives an
 empty result. Other columns are ignored.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,11 +40,25 @@ STEP = 16 * 2048
 REMEMBERED = 400_000
 
 
+#: How a tokenizer treats a text before its model sees it, if the ids of a text are those of its lower-cased words in a row.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokens:
     """Token ids of words, each word tokenized once while it is remembered.
 
-    The tokenizer never joins what white space parts, so a text's ids are
-    those of its words in a row.
+    A tokenizer that is known not to join what white space parts gives a text
+    the ids of its words in a row (``by_word``); any other one is given whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -50,8 +66,18 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.by_word = all(made[k] == v for k, v in BY_WORD.items()) and all(t["content"].startswith("<|") for t in made["added_tokens"])
         self.known: dict[str, list[int]] = {}
 
+    def whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each text's followed by the end id; where each text's ids begin)."""
+        parts = [np.zeros(0, np.uint32)]
+        for text in column.to_pylist():
+            found = self.tokenizer.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids
+            parts.append(np.array([*found, END], np.uint32))
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
     def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each)."""
         if len(self.known) > REMEMBERED:
@@ -97,6 +123,8 @@ def parted(column: pa.Array) -> tuple[np.ndarray, bytes]:
 
 def tokenize(column: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, each text's followed by the end id; where each text's ids begin)."""
+    if not tokens.by_word:
+        return tokens.whole(column)
     words, ids, at = words_in(*parted(column))
     flat, counts = tokens.flat(words.to_pylist())
     starts = np.concatenate([[0], np.cumsum(counts)])

@@ -222,30 +222,37 @@ def test_probabilities_after_a_context_sum_to_one():
 # Packing
 
 
-def test_packing(docs, rows, none):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing(docs, rows, none, name):
+    """Pieces tile every document, hold the tokenizer's own ids and fill their sequences; also by a tokenizer that must see whole texts."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = public_tokenizers.path(name)
+    assert packing.WordTokens(path).by_word == name.startswith("word")
     tokenizer = Tokenizer.from_file(path)
-    want = Counter()
-    for k, t in rows:
-        want[k, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1] += 1
+    want = Counter((k, *tokenizer.encode(t or "", add_special_tokens=False).ids, 1) for k, t in rows)
     got = packing.packed(docs, path, with_ids=True).collect()
-    sequences, pieces = {}, {}
+    sequences, starts = {}, {}
     for r in got:
-        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
-        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        pieces.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] > 0
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["window"], r["step_group"]))
+        starts.setdefault((r["doc_id"], r["doc_tokens"]), Counter())[r["start"], tuple(r["ids"])] += 1
     for parts in sequences.values():
         at = 0
-        for offset, length in sorted(parts):
+        for offset, length, *_ in sorted(parts):
             assert offset == at
             at += length
-        assert at & (at - 1) == 0 and at <= 2048
-    for (_, n), parts in pieces.items():
-        assert sum(length for _, length in parts) == n * len([1 for s, _ in parts if s == 0])
-    assert Counter({k: sum(1 for s, _ in v if s == 0) for k, v in pieces.items()}) == want
+        assert at & (at - 1) == 0 and at <= 2048 and {x[2:] for x in parts} == {(at, parts[0][3])}
+    for (k, n), held in starts.items():
+        # Copies of a document may be cut alike or not; every one of them is covered once.
+        texts = [x[1:] for x, c in want.items() if x[0] == k and len(x) == n + 1 for _ in range(c)]
+        assert sum(len(ids) * c for (_, ids), c in held.items()) == n * len(texts)
+        for (a, ids), _ in held.items():
+            assert any(x[a : a + len(ids)] == ids for x in texts)
+        for place in range(n):
+            assert sum(c for (a, ids), c in held.items() if a <= place < a + len(ids)) == len(texts)
+    assert sum(r["length"] for r in got) == sum((len(x) - 1) * c for x, c in want.items())
     assert as_rows(packing.packed(none, path)) == []
 
 
