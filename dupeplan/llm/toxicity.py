@@ -7,13 +7,14 @@ window. A text is scored by all its overlapping windows; the largest score,
 calibrated on documents that trained nothing else, is the text's.
 
 The network is trained in numpy on the driver, from at most ``SAMPLE`` toxic
-and ``CLEAN`` times as many clean rows (those with the smallest hashed keys): first on random windows
+and ``CLEAN`` times as many clean rows (those with the smallest hashed keys, of
+texts of up to ``LONGEST`` bytes): first on random windows
 that inherit their document's label, then on the windows that score most in
 each document. Embeddings of words and trigrams that few of the documents hold
 stay zero, so that no document is learnt by heart.
 
 Null and empty texts score what no word says (the network's bias, trained to be clean). Repeated
-rows and null keys are scored like any others. Without labels of both classes
+rows, null keys and very long texts are scored like any others; other columns are ignored. Without labels of both classes
 every score is the share of toxic labels (0 without any). An empty table gives
 an empty result.
 """
@@ -41,6 +42,8 @@ DECAY = 0.1
 STEPS = 80
 #: Clean rows for each toxic one that may train.
 CLEAN = 2
+#: Bytes of the longest text that may train; with the bound on rows it bounds what the driver receives.
+LONGEST = 1 << 16
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
@@ -314,15 +317,15 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Trains on labelled rows that are not held out: at most ``sample`` toxic ones and ``CLEAN`` times as many others."""
+def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Trains on labelled rows that are not held out: at most ``sample`` toxic ones and ``CLEAN`` times as many others, none with a text of over ``longest`` bytes."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
     hashed = F.xxhash64(key, F.lit(11))
     chosen = None
     for value in (0, 1):
         part = hashed_sample(known.where((F.col("_label") == value) & ~held_out), F.col(key), sample * (1 if value else CLEAN))
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select(key, text).join(F.broadcast(chosen), key).orderBy(hashed, key).limit((1 + CLEAN) * sample)
+    found = docs.select(key, text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= longest).join(F.broadcast(chosen), key).orderBy(hashed, key).limit((1 + CLEAN) * sample)
     rows = found.select(text, "_label", (F.pmod(F.xxhash64(key, F.lit(12)), F.lit(4)) == 0).alias("_apart")).collect()
     return train([r[0] for r in rows], np.array([r[1] == 1 for r in rows], bool), np.array([r[2] for r in rows], bool))
 

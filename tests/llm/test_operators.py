@@ -644,29 +644,81 @@ def test_repeats_that_cross_blocks(spark, tmp_path, monkeypatch):
 # Toxicity
 
 
-def test_gradients():
+@pytest.fixture
+def network():
+    """A network in double precision whose parameters are all at work, some words and windows of them."""
     rng = np.random.default_rng(0)
     words = toxicity.Vocabulary([b"ab", b"a", b"hello", b"world", b"xyz"])
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    net.p["v"] = rng.standard_normal(2 * toxicity.HIDDEN)
-    grid, y = rng.integers(-1, 5, (6, toxicity.WINDOW)), rng.integers(0, 2, 6).astype(float)
+    net.p["v"], net.p["b"], net.p["c"] = rng.standard_normal(2 * toxicity.HIDDEN), 0.3 * rng.standard_normal(6 * toxicity.HIDDEN), np.array([0.2])
+    net.p["words"], net.p["grams"] = 10 * net.p["words"], 10 * net.p["grams"]
+    grid = rng.integers(0, 5, (6, toxicity.WINDOW))
+    for row, n in enumerate((32, 20, 7, 1, 0, 31)):  # past the end of a text there is no word
+        grid[row, n:] = -1
+    return net, words, grid, rng
+
+
+def slow_logit(net, words, row):
+    """One window word by word, as the equations are written."""
+    p, h, ids = net.p, toxicity.HIDDEN, [i for i in row.tolist() if i >= 0]
+    if not ids:
+        return p["c"][0]
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+
+    def entered(i):
+        own = words.gram[words.starts[i] : words.starts[i] + words.counts[i]]
+        return np.concatenate([p["words"][words.word[i]], p["grams"][own].mean(axis=0)]) @ p["w"] + p["b"]
+
+    def read(side, order, x):
+        state, out = np.zeros(h), {}
+        for t in order:
+            z = logistic(x[t][:h] + state @ p[f"{side}zr"][:, :h])
+            r = logistic(x[t][h : 2 * h] + state @ p[f"{side}zr"][:, h:])
+            state = (1 - z) * state + z * np.tanh(x[t][2 * h :] + (r * state) @ p[f"{side}c"])
+            out[t] = state
+        return out
+
+    x = [entered(i) for i in ids]
+    left, right = read("f", range(len(ids)), [v[: 3 * h] for v in x]), read("g", reversed(range(len(ids))), [v[3 * h :] for v in x])
+    states = np.array([np.concatenate([left[t], right[t]]) for t in range(len(ids))])
+    weight = np.exp(states @ p["v"])
+    return (weight / weight.sum()) @ states @ p["o"] + p["c"][0]
+
+
+def test_forward_pass(network):
+    net, words, grid, _ = network
+    got = net.forward(net.projected(words), grid)
+    assert got == pytest.approx([slow_logit(net, words, row) for row in grid], abs=1e-6)
+
+
+def test_gradients(network):
+    """Every parameter's gradient against differences of the loss of the slow pass's equal."""
+    net, words, grid, rng = network
+    y = np.array([1.0, 0, 1, 0, 1, 1])
 
     def loss():
-        p = toxicity._sigmoid(net.forward(net.projected(words), grid))
-        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+        logits = net.forward(net.projected(words), grid)
+        return (np.logaddexp(0, logits) - y * logits).sum()
 
     logits, kept = net.forward(net.projected(words), grid, keep=True)
     g, into = net.backward(toxicity._sigmoid(logits) - y, grid, kept, 5)
-    g |= {"b": into.sum(0)}
-    for name in ("o", "c", "v", "b"):
-        i = tuple(int(rng.integers(n)) for n in net.p[name].shape)
-        old = net.p[name][i]
-        net.p[name][i] = old + 1e-3
-        up = loss()
-        net.p[name][i] = old - 1e-3
-        assert (up - loss()) / 2e-3 == pytest.approx(g[name][i], rel=0.02, abs=1e-4)
-        net.p[name][i] = old
+    x, (which, grams, counts) = net.inputs(words)
+    back = into @ net.p["w"].T
+    g |= {"w": x.T @ into, "b": into.sum(0), "words": np.zeros_like(net.p["words"]), "grams": np.zeros_like(net.p["grams"])}
+    np.add.at(g["words"], words.word[which], back[:, : toxicity.WIDTH])
+    np.add.at(g["grams"], grams, np.repeat(back[:, toxicity.WIDTH :] / counts[:, None], counts, axis=0))
+    assert set(g) == set(net.p)
+    for name, value in net.p.items():
+        rows = {"words": words.word, "grams": words.gram}.get(name)
+        for _ in range(6):
+            i = tuple(int(rng.integers(n)) for n in value.shape) if rows is None else (int(rng.choice(rows)), int(rng.integers(value.shape[1])))
+            old = value[i]
+            value[i] = old + 1e-3
+            up = loss()
+            value[i] = old - 1e-3
+            assert (up - loss()) / 2e-3 == pytest.approx(g[name][i], rel=0.02, abs=1e-4), name
+            value[i] = old
 
 
 def test_toxicity_learns_words_and_prefixes(docs, none):
@@ -683,6 +735,19 @@ def test_toxicity_learns_words_and_prefixes(docs, none):
     assert toxicity.train(["a"], np.array([False]), np.array([False])).score(pa.array(["x"])).tolist() == [0.0]
 
 
+def test_toxicity_query_columns(spark, docs, rows, tmp_path):
+    """The query's marks and columns; a text over the bound on training is scored like any other."""
+    from dupeplan.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op10_toxicity(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_windows_overlap_and_cover():
     at = np.array([0, 0, 5, 40, 140])
     first, doc = toxicity.windows_of(at)
