@@ -63,9 +63,10 @@ def token_order(docs: DataFrame, templates: list[tuple[str, str]], text: str = "
     known = sorted({t for _, body in templates for t in tokens_of(body)})
     if not known:
         return []
-    held = docs.select(F.lower(_spaced(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
-    counts = held.agg(*[F.count_if(F.contains("_t", F.lit(f" {t} "))).alias(f"c{i}") for i, t in enumerate(known)]).first()
-    return [t for _, t in sorted((counts[f"c{i}"], t) for i, t in enumerate(known))]
+    words = F.split(_lowered(_spaced(F.coalesce(F.col(text), F.lit("")))), " ")
+    held = docs.select(F.explode(F.array_intersect(F.array(*[F.lit(t) for t in known]), words)).alias("token"))
+    counts = dict.fromkeys(known, 0) | {t: n for t, n in held.groupBy("token").count().collect()}  # a row for each known token
+    return sorted(known, key=lambda t: (counts[t], t))
 
 
 def _run_match(number: int, label: str, own: list[str], need: int, length: int) -> Column:

@@ -523,6 +523,25 @@ def test_wrapped_notices(spark):
     assert missed_by_lines > 40
 
 
+def test_licenses_match_their_sql(spark, docs, tmp_path):
+    """The query and its DuckDB SQL over the fixture and over notices wrapped at every width."""
+    import textwrap
+
+    import duckdb
+
+    from dupeplan.llm import oracle, queries
+
+    notices = "\n\n".join(body for _, body in license.TEMPLATES)
+    texts = [textwrap.fill(f"some words before {body} and after", width) for _, body in license.TEMPLATES for width in (12, 40, 80)] + [textwrap.fill(notices, 60), notices]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracle.SQL["op7_license_scan"]).fetchall()
+    got = as_rows(queries.op7_license_scan(spark, str(tmp_path)))
+    assert tally(got) == tally(want) and sum(bool(r[6]) for r in got if r[0] and r[0] >= 1000) >= 20
+
+
 # Quality
 
 
