@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from dupeplan import commands
+from dupeplan.progress import Progress
 from dupeplan.sources import manifests
 
 
@@ -65,27 +66,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     top = parser()
     a = top.parse_args(argv)
     spark = spark or SparkSession.builder.appName("dupeplan").getOrCreate()
+    progress = Progress(a.command)
     try:
         if a.command == "manifest":
-            print(commands.generate_manifest(spark, a.root, a.nas_root, a.manifest or manifests.manifest_beside(a.root), a.structure_depth))
+            print(commands.generate_manifest(spark, a.root, a.nas_root, a.manifest or manifests.manifest_beside(a.root), a.structure_depth, progress))
             return 0
         if a.command == "plan":
-            print(commands.plan_from_manifests(spark, a.manifests, a.output, a.log, a.ignore_json_sidecar_fields))
+            print(commands.plan_from_manifests(spark, a.manifests, a.output, a.log, a.ignore_json_sidecar_fields, progress))
             return 0
         if a.command == "analyze-plan":
             print(report(commands.analyze_plan(spark, a.plan)))
             return 0
         if a.command == "analyze-json-sidecars":
-            result = commands.analyze_json_sidecars(spark, a.manifests, a.log)
+            result = commands.analyze_json_sidecars(spark, a.manifests, a.log, progress)
             bad = result["parse_errors"]
         elif a.command == "verify-bytes":
-            result = commands.verify_bytes(spark, a.manifests, a.log)
+            result = commands.verify_bytes(spark, a.manifests, a.log, progress)
             bad = result["failed_groups"]
         elif a.command == "execute-plan":
-            result = commands.execute_plan(spark, a.plan, a.log, a.move, False if a.no_verify_source_hashes else None)
+            result = commands.execute_plan(spark, a.plan, a.log, a.move, False if a.no_verify_source_hashes else None, progress)
             bad = result["skipped_bundles"] or result["orphan_sidecars"]
         else:
-            result = commands.verify_move(spark, a.manifests, a.output, a.log, a.ignore_json_sidecar_fields)
+            result = commands.verify_move(spark, a.manifests, a.output, a.log, a.ignore_json_sidecar_fields, progress)
             bad = result["failed_paths"] or result["unexpected_outputs"]
     except ValueError as error:
         print(f"{top.prog}: error: {error}", file=sys.stderr)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupeplan.operators import analysis, execution, inventory, moving, planning, verification
+from dupeplan.progress import SILENT, Progress
 from dupeplan.schema import EXECUTION_REQUIRED, JSON_FIELDS, LOG_FIELDS
 from dupeplan.sources import files, manifests
 from dupeplan.sources.scratch import stored
@@ -40,18 +41,23 @@ def validate_roots(spark: SparkSession, local_root: str, nas_root: str, depth: i
             raise ValueError(f"NAS root {words} directories within depth {depth}: {', '.join(sample)}")
 
 
-def generate_manifest(spark: SparkSession, local_root: str, nas_root: str, manifest: str, structure_depth: int = 2) -> str:
+def generate_manifest(spark: SparkSession, local_root: str, nas_root: str, manifest: str, structure_depth: int = 2, progress: Progress = SILENT) -> str:
     local = str(Path(local_root).resolve())
     if not os.path.isdir(local):
         raise ValueError(f"local batch root is not a directory: {local_root}")
     if os.path.exists(manifest):
         raise ValueError(f"manifest already exists: {manifest}")
     validate_roots(spark, local, str(nas_root), structure_depth)
-    hashed = stored(files.with_digests(files.regular_files(spark, local)), "hashed")
+    with progress.phase("list files"):
+        found = files.regular_files(spark, local)
+        progress.advance(found.count())
+    with progress.phase("hash files", progress.done):
+        hashed = stored(files.with_digests(found), "hashed")
     if bad := hashed.where("digest IS NULL").orderBy("path").first():
         raise OSError(bad["digest_error"])
     rows = inventory.manifest_rows(hashed, str(nas_root), local, _now())
-    return manifests.write_csv(rows, manifest, "manifest", inventory.MANIFEST_ORDER)
+    with progress.phase("write manifest"):
+        return manifests.write_csv(rows, manifest, "manifest", inventory.MANIFEST_ORDER)
 
 
 def _write_log(rows: DataFrame, path: str, what: str, mode: str, order: list[str]) -> str:
@@ -60,11 +66,14 @@ def _write_log(rows: DataFrame, path: str, what: str, mode: str, order: list[str
     return manifests.write_csv(full.select(*LOG_FIELDS, *order), path, what, order)
 
 
-def plan_from_manifests(spark: SparkSession, paths: list[str], output_root: str, log: str | None = None, ignore_json: bool = False) -> dict:
-    tables = manifests.load(spark, paths)
-    rows = stored(planning.plan(*tables, str(output_root), ignore_json), "plan")
+def plan_from_manifests(spark: SparkSession, paths: list[str], output_root: str, log: str | None = None, ignore_json: bool = False, progress: Progress = SILENT) -> dict:
+    with progress.phase("load manifests", len(paths)):
+        tables = manifests.load(spark, paths)
+    with progress.phase("plan"):
+        rows = stored(planning.plan(*tables, str(output_root), ignore_json), "plan")
     # Within an entry the log sorts by place; a conflict group keeps the order of reading.
-    path = _write_log(rows, log or manifests.dated_log("plan"), "plan log", "manifest_plan", planning.ORDER)
+    with progress.phase("write plan"):
+        path = _write_log(rows, log or manifests.dated_log("plan"), "plan log", "manifest_plan", planning.ORDER)
     return {"log_path": path, **planning.totals(rows).first().asDict()}
 
 
@@ -83,11 +92,14 @@ def analyze_plan(spark: SparkSession, plan: str) -> dict:
     return found
 
 
-def analyze_json_sidecars(spark: SparkSession, paths: list[str], log: str | None = None) -> dict:
-    entries, sidecars, _ = manifests.load(spark, paths)
-    found = analysis.json_conflict_groups(entries, sidecars)
+def analyze_json_sidecars(spark: SparkSession, paths: list[str], log: str | None = None, progress: Progress = SILENT) -> dict:
+    with progress.phase("load manifests", len(paths)):
+        entries, sidecars, _ = manifests.load(spark, paths)
+    with progress.phase("find conflicts"):
+        found = analysis.json_conflict_groups(entries, sidecars)
     order = ["o_group", "o_part", "o_key", "o_label", "o_path", "o_pos"]
-    rows = stored(analysis.json_differences(found, analysis.json_items(file_texts(found))), "differences")
+    with progress.phase("compare sidecars", found.count() if progress.enabled else 0):
+        rows = stored(analysis.json_differences(found, analysis.json_items(file_texts(found))), "differences")
     path = manifests.write_csv(rows.select(*JSON_FIELDS, *order), log or manifests.dated_log("analyze_json_sidecars"), "JSON analysis log", order)
     counts = rows.agg(F.count_if(F.col("status") == "error").alias("e"), F.count_distinct(F.when(F.col("status") == "differing", F.struct("group_id", "json_key"))).alias("d")).first()
     return {"log_path": path, "analyzed_groups": found.select("g").distinct().count(), "differing_keys": counts["d"], "parse_errors": counts["e"]}
@@ -113,34 +125,37 @@ def file_texts(paths: DataFrame) -> DataFrame:
     return paths.select("path").distinct().mapInArrow(run, "path string, content binary, error string")
 
 
-def verify_bytes(spark: SparkSession, paths: list[str], log: str | None = None) -> dict:
+def verify_bytes(spark: SparkSession, paths: list[str], log: str | None = None, progress: Progress = SILENT) -> dict:
     """Compares every file of a bucket with the first, piece by piece."""
-    groups = stored(verification.byte_groups(*manifests.load(spark, paths)), "groups")
-    first = groups.where("ordinal = g").select("file_role", "g", F.col("path").alias("left"))
-    compared = stored(files.equal_files(groups.join(first, ["file_role", "g"]).withColumn("right", F.col("path"))), "compared")
+    with progress.phase("load manifests", len(paths)):
+        groups = stored(verification.byte_groups(*manifests.load(spark, paths)), "groups")
+    first = groups.where("first").select("file_role", "group_id", F.col("path").alias("left"))
+    with progress.phase("compare bytes", groups.count() if progress.enabled else 0):
+        compared = stored(files.equal_files(groups.join(first, ["file_role", "group_id"]).withColumn("right", F.col("path"))), "compared")
     contents = compared.select("path", F.when(F.col("equal"), F.col("left")).otherwise(F.col("path")).alias("content")).distinct()
     rows = stored(verification.byte_log(groups, contents), "bytes")
     role = F.when(F.col("file_role") == "primary", 0).when(F.col("file_role") == "sidecar", 1).otherwise(2)
     path = _write_log(rows.withColumn("o_role", role), log or manifests.dated_log("verify_bytes"), "verify log", "manifest_verify", ["o_role"])
     failed = rows.where("disposition = 'verify_failed'").select("file_role", "group_id").distinct().count()
-    return {"log_path": path, "checked_groups": groups.select("file_role", "g").distinct().count(), "failed_groups": failed}
+    return {"log_path": path, "checked_groups": groups.select("file_role", "group_id").distinct().count(), "failed_groups": failed}
 
 
-def verify_move(spark: SparkSession, paths: list[str], output_root: str, log: str | None = None, ignore_json: bool = False) -> dict:
-    rows = stored(planning.plan(*manifests.load(spark, paths), str(output_root), ignore_json), "plan")
+def verify_move(spark: SparkSession, paths: list[str], output_root: str, log: str | None = None, ignore_json: bool = False, progress: Progress = SILENT) -> dict:
+    with progress.phase("plan", len(paths)):
+        rows = stored(planning.plan(*manifests.load(spark, paths), str(output_root), ignore_json), "plan")
     where = rows.select(F.explode(F.array("source_path", "destination_path")).alias("path")).where("path <> ''")
-    checks = stored(verification.move_log(rows, files.snapshot(spark, where, with_digest=False)), "checks")
+    with progress.phase("check paths"):
+        checks = stored(verification.move_log(rows, files.snapshot(spark, where, with_digest=False)), "checks")
     target = log or manifests.dated_log("verify_move")
     inside = files.tree(spark, str(output_root)).where("is_file").select("path", F.lit(True).alias("is_file"), "size_bytes")
     extra = stored(verification.unexpected_outputs(rows, inside).where(F.col("source_path") != os.path.abspath(target)), "extra")
-    order = {"o_extra": F.lit(0), "o_group": F.col("group_id"), "o_path": F.concat("source_path", "destination_path")}
-    whole = checks.withColumns(order).unionByName(extra.withColumns(order | {"o_extra": F.lit(1), "o_group": F.lit(""), "o_path": F.col("source_path")}), allowMissingColumns=True).fillna("")
-    path = _write_log(whole, target, "verify-move log", "verify_move", list(order))
+    whole = checks.withColumn("o_extra", F.lit(0)).unionByName(extra.withColumn("o_extra", F.lit(1)), allowMissingColumns=True).fillna("")
+    path = _write_log(whole, target, "verify-move log", "verify_move", ["o_extra", *planning.VERIFY_ORDER, "o_at", "source_path"])
     counts = checks.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad")).first()
     return {"log_path": path, "checked_paths": counts["n"], "matched_paths": counts["n"] - counts["bad"], "failed_paths": counts["bad"], "unexpected_outputs": extra.count()}
 
 
-def execute_plan(spark: SparkSession, plan: str, log: str | None = None, move: bool = False, verify_hashes: bool | None = None) -> dict:
+def execute_plan(spark: SparkSession, plan: str, log: str | None = None, move: bool = False, verify_hashes: bool | None = None, progress: Progress = SILENT) -> dict:
     """Dry run, or moves; hashes are verified by default when files move."""
     verify = move if verify_hashes is None else verify_hashes
     read = manifests.read_csv(spark, plan, EXECUTION_REQUIRED, "plan")
@@ -158,10 +173,11 @@ def execute_plan(spark: SparkSession, plan: str, log: str | None = None, move: b
         made = moving.move_bundles(spark, rows, verify)
     else:
         found = execution.log_rows(rows, files.snapshot(spark, every), verify)
-        made = (r.asDict() for r in found.orderBy("part", "group_id", "bundle", "source_path").toLocalIterator())
+        made = (r.asDict() for r in found.orderBy(*execution.LOG_ORDER).toLocalIterator())
     result = {"log_path": target, "bundles": 0, "moved_bundles": 0, "planned_bundles": 0, "already_moved_bundles": 0, "skipped_bundles": 0, "orphan_sidecars": 0}
     fields = [digest if c == "xxh128" else c for c in LOG_FIELDS]
-    with open(target, "x", newline="", encoding="utf-8") as f:
+    total = rows.where(F.col("disposition").isin(*execution.PRIMARY)).count() if progress.enabled else 0
+    with progress.phase("move bundles" if move else "check bundles", total), open(target, "x", newline="", encoding="utf-8") as f:
         writer = csv.writer(f)
         writer.writerow(fields)
         for r in made:
@@ -173,6 +189,9 @@ def execute_plan(spark: SparkSession, plan: str, log: str | None = None, move: b
                 result["bundles"] += 1
                 name = {"kept": "already_moved", "planned": "planned", "moved": "moved"}.get(r["status"], "skipped")
                 result[f"{name}_bundles"] += 1
+                progress.advance(errors=int(name == "skipped"))
+            if r["status"] == "moved":
+                progress.advance(0, moved_files=1, moved_bytes=r["size_bytes"])
     return result
 
 

@@ -1,7 +1,8 @@
 """The execution state machine over a plan and a snapshot of the file system.
 
-``snapshot`` has path, is_file, size_bytes and digest of everything that exists.
-All states are joins and conditional expressions; a bundle's verdict is a
+``plan`` has the plan's columns and ``_line``, the distinct numbers of its rows in
+their order. ``snapshot`` has path, is_file, size_bytes and digest of everything
+that exists. All states are joins and conditional expressions; a bundle's verdict is a
 grouped aggregate joined back to its rows.
 """
 
@@ -20,21 +21,24 @@ ROW = ["disposition", "group_id", "file_role", "source_path", "destination_path"
 
 def planned(plan: DataFrame) -> DataFrame:
     """The rows that execution reads, whose role fits their disposition."""
-    rows = plan.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c not in ("size_bytes",) else F.col(c).cast("long") for c in ROW if c in plan.columns])
+    rows = plan.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c not in ("size_bytes",) else F.col(c).cast("long") for c in ROW if c in plan.columns], F.col("_line").alias("line"))
     role = F.create_map(*[F.lit(x) for kv in {"planned_duplicate_primary": "primary", "planned_duplicate_uncategorized": "uncategorized", "planned_duplicate_sidecar": "sidecar", MERGE_DISPOSITION: "sidecar"}.items() for x in kv])
     keeper = F.col("disposition").isin(KEEPER_DISPOSITIONS) & F.col("file_role").isin("primary", "uncategorized")
     return rows.where(keeper | (role[F.col("disposition")] == F.col("file_role")))
 
 
 def bundles(plan: DataFrame) -> DataFrame:
-    """Rows of bundles: a primary, then its sidecars, then its merges, with the bundle's key and the group's keeper."""
+    """Rows of bundles: a primary, then its sidecars, then its merges, with the bundle's key (at, the line of its primary) and the group's keeper.
+
+    Two primaries of one group and path are two bundles, each with all sidecars.
+    """
     rows = planned(plan)
     primary = rows.where(F.col("disposition").isin(PRIMARY))
     keepers = rows.where(F.col("disposition").isin(KEEPER_DISPOSITIONS)).select("group_id", *[F.col(c).alias(f"k_{c}") for c in ("source_path", "size_bytes", "xxh128", "file_role", "input_root")])
-    own = primary.withColumns({"bundle": F.col("source_path"), "kind": F.lit(0)})
-    key = primary.select("group_id", F.col("source_path").alias("bundle"))
+    own = primary.withColumns({"bundle": F.col("source_path"), "at": F.col("line"), "kind": F.lit(0)})
+    key = primary.select("group_id", F.col("source_path").alias("bundle"), F.col("line").alias("at"))
     rest = rows.where(F.col("disposition").isin("planned_duplicate_sidecar", MERGE_DISPOSITION)).withColumns({"bundle": F.col("primary_source_path"), "kind": F.when(F.col("disposition") == MERGE_DISPOSITION, 2).otherwise(1)})
-    return own.unionByName(rest.join(key, ["group_id", "bundle"], "left_semi").select(*own.columns)).join(keepers, "group_id", "left")
+    return own.unionByName(rest.join(key, ["group_id", "bundle"]).select(*own.columns)).join(keepers, "group_id", "left")
 
 
 def orphans(plan: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def verdicts(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
         .when(F.lit(verify_hashes) & ((F.col("k_xxh128") == "") | (F.coalesce(F.col("kf_digest"), F.lit("")) != F.col("k_xxh128"))), "keeper_hash_mismatch")
     )
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    ask = hit.groupBy("group_id", "bundle").agg(
+    ask = hit.groupBy("at").agg(
         F.max(keeper).alias("keeper_result"),
         some(F.col("source_path") == F.col("k_source_path")).alias("is_keeper"),
         some(F.col("shared")).alias("any_shared"),
@@ -119,16 +123,20 @@ def verdicts(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
         .when(F.col("any_already_moved"), "partial_bundle_state").when(verify & F.col("wrong_source"), "source_hash_mismatch")
     )
     flags = ["is_keeper", "any_shared", "all_moved", "any_source_missing"]
-    return hit.join(ask.select("group_id", "bundle", result.alias("verdict"), *flags), ["group_id", "bundle"])
+    return hit.join(ask.select("at", result.alias("verdict"), *flags), "at")
+
+
+#: Order of the log: orphans, then bundle by bundle.
+LOG_ORDER = ["at", "part", "o_line", "source_path"]
 
 
 def log_rows(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False) -> DataFrame:
-    """Rows of the dry-run log: orphans, keepers (once for each bundle) and bundle rows, with what validation found."""
+    """Rows of the dry-run log: orphans, keepers (once for each bundle) and bundle rows, with what validation found; ``LOG_ORDER`` sorts them."""
     rows = stored(verdicts(plan, snapshot, verify_hashes), "verdicts")
     state, verdict = F.col("state"), F.coalesce("verdict", F.lit(""))
     wrong = lambda p: F.when(F.col("xxh128") == "", "not_applicable").when(F.col(f"{p}_digest") == F.col("xxh128"), "matched").otherwise("mismatched")
     # Hashes are checked row by row until the first that fails.
-    order = W.partitionBy("group_id", "bundle").orderBy("kind", "source_path").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("at").orderBy("kind", "source_path", "line").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({"_d": wrong("d"), "_s": wrong("s")}).withColumns({f"_until_{p}": F.coalesce(F.max(F.col(f"_{p}") != "matched").over(order), F.lit(False)) for p in "ds"})
     hashed_d = F.lit(verify_hashes) & verdict.isin("already_moved", "destination_hash_mismatch") & ~F.col("_until_d")
     hashed_s = F.lit(verify_hashes) & verdict.isin("", "source_hash_mismatch") & ~F.col("_until_s")
@@ -152,7 +160,7 @@ def log_rows(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
     event = F.when(role == "uncategorized", "execute_plan_uncategorized_move").when(role == "primary", "execute_plan_move").when(merge, "execute_plan_sidecar_merge").otherwise("execute_plan_sidecar_move")
     pick = lambda done, run, error: F.when(verdict == "already_moved", done).when(verdict == "", run).otherwise(error)
     body = rows.select(
-        "group_id", "bundle", (F.col("kind") + 1).alias("part"), pick(moved, F.col("disposition"), F.concat(F.lit("skipped_error_"), role)).alias("disposition"), event.alias("event"),
+        "group_id", "at", (F.col("kind") + 1).alias("part"), F.lit(0).cast("long").alias("o_line"), pick(moved, F.col("disposition"), F.concat(F.lit("skipped_error_"), role)).alias("disposition"), event.alias("event"),
         pick(F.lit("kept"), F.lit("planned"), F.lit("error")).alias("status"), "file_role", "source_path", action.alias("destination_path"), "duplicate_output_path", "keeper_path", "primary_source_path",
         pick(F.lit("already_moved"), F.lit("validated"), verdict).alias("reason"), "size_bytes", "xxh128", validation.alias("validation_result"),
         pick(F.lit("already_moved"), F.lit("planned"), F.lit("skipped")).alias("action_taken"), check.alias("hash_check"), F.coalesce(seen, F.lit("")).alias("observed_hash"), "input_root", F.lit("").alias("message"),
@@ -162,7 +170,7 @@ def log_rows(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
     bad_hash = F.when(F.col("k_xxh128") == "", "not_applicable").otherwise("mismatched")
     k_check = F.when(verdict.isin("keeper_missing", "keeper_size_mismatch"), "not_applicable").when(F.lit(not verify_hashes), "not_checked").when(verdict == "keeper_hash_mismatch", bad_hash).otherwise("matched")
     keeper = rows.where("kind = 0 AND k_source_path IS NOT NULL").select(
-        "group_id", "bundle", F.lit(0).alias("part"),
+        "group_id", "at", F.lit(0).alias("part"), F.lit(0).cast("long").alias("o_line"),
         F.when(other, F.when(error, "uncategorized_keeper_error").otherwise("verified_uncategorized_keeper")).otherwise(F.when(error, "keeper_error").otherwise("verified_keeper")).alias("disposition"),
         F.lit("execute_plan_keeper").alias("event"), F.when(error, "error").otherwise("kept").alias("status"), F.when(other, "uncategorized").otherwise("keeper").alias("file_role"),
         F.col("k_source_path").alias("source_path"), F.lit("").alias("destination_path"), F.lit("").alias("duplicate_output_path"), F.col("k_source_path").alias("keeper_path"), F.lit("").alias("primary_source_path"),
@@ -171,7 +179,7 @@ def log_rows(plan: DataFrame, snapshot: DataFrame, verify_hashes: bool = False)
         F.col("k_input_root").alias("input_root"), F.lit("").alias("message"),
     )
     lost = orphans(plan).select(
-        "group_id", F.lit("").alias("bundle"), F.lit(-1).alias("part"), F.lit("orphan_plan_sidecar").alias("disposition"), F.lit("execute_plan_orphan_sidecar").alias("event"), F.lit("error").alias("status"),
+        "group_id", F.lit(-1).cast("long").alias("at"), F.when(F.col("disposition") == MERGE_DISPOSITION, 1).otherwise(0).alias("part"), F.col("line").alias("o_line"), F.lit("orphan_plan_sidecar").alias("disposition"), F.lit("execute_plan_orphan_sidecar").alias("event"), F.lit("error").alias("status"),
         F.lit("sidecar").alias("file_role"), "source_path", "destination_path", F.lit("").alias("duplicate_output_path"), "keeper_path", "primary_source_path", F.lit("orphan_plan_sidecar").alias("reason"), "size_bytes",
         F.lit("").alias("xxh128"), F.lit("orphan_plan_sidecar").alias("validation_result"), F.lit("skipped").alias("action_taken"), F.lit("not_applicable").alias("hash_check"), F.lit("").alias("observed_hash"), "input_root",
         F.lit("planned sidecar row has no matching planned primary row").alias("message"),

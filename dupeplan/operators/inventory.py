@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dupeplan.functions import paths
+from dupeplan.operators.ordering import positioned
 
 
 def classified(files: DataFrame) -> DataFrame:
@@ -30,15 +30,9 @@ def classified(files: DataFrame) -> DataFrame:
 
 
 def with_group_ids(files: DataFrame) -> DataFrame:
-    """Adds group_id (f and a number) to classified files, by directory and lower-cased name of the primary.
-
-    Directories are numbered first by the primaries before them, so that no task
-    orders more than one directory's files or the list of directories.
-    """
-    primaries = files.where("file_role = 'primary'")
-    before = primaries.groupBy("dir").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("dir").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(W.partitionBy("dir").orderBy(F.lower("name"), "name"))
-    ids = primaries.select("dir", F.col("name").alias("_anchor"), rank.alias("_rank")).join(before, "dir").select("dir", "_anchor", F.format_string("f%06d", F.col("_before") + F.col("_rank")).alias("group_id"))
+    """Adds group_id (f and a number) to classified files, by directory and lower-cased name of the primary."""
+    primaries = files.where("file_role = 'primary'").select("dir", F.col("name").alias("_anchor"), F.lower("name").alias("_lower"))
+    ids = positioned(primaries, "dir", "_lower", "_anchor").select("dir", "_anchor", F.format_string("f%06d", F.col("position") + 1).alias("group_id"))
     anchored = files.withColumn("_anchor", F.when(F.col("file_role") == "primary", F.col("name")).otherwise(F.col("primary_name")))
     return anchored.join(ids, ["dir", "_anchor"], "left").withColumn("group_id", F.coalesce("group_id", F.lit(""))).drop("_anchor")
 

@@ -5,7 +5,7 @@ ordinal, label, path, relative_path, size_bytes and digest; ``sidecars`` has the
 ordinal of its primary, pos (its place among that primary's sidecars), path,
 relative_path, size_bytes and digest. Ordinals are distinct and give the order of
 reading. Groups are formed by grouping and equi-joins, never by windows over a
-bucket, so that a bucket with very many copies can be split.
+whole bucket, so that a bucket with very many copies can be split.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ BUCKET = ["size_bytes", "digest"]
 FILE = ["ordinal", "label", "path", "relative_path", "size_bytes", "digest"]
 
 
-def numbered(groups: DataFrame, prefix: str) -> DataFrame:
-    """Adds group_id, the number of a group by its first ordinal ``g``; counts go range by range, not through one task."""
+def numbered(groups: DataFrame, prefix: str, *then: str) -> DataFrame:
+    """Adds group_id, the number of a group by its first ordinal ``g`` (and what comes then); counts go range by range, not through one task."""
     ranged = groups.withColumn("_range", F.shiftright("g", 20))
     before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    placed = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_range").orderBy("g"))).join(before, "_range")
+    placed = ranged.withColumn("_rank", F.row_number().over(W.partitionBy("_range").orderBy("g", *then))).join(before, "_range")
     return placed.withColumn("group_id", F.format_string(f"{prefix}%06d", F.col("_before") + F.col("_rank"))).drop("_range", "_before", "_rank")
 
 
@@ -45,9 +45,10 @@ def unique_files(files: DataFrame) -> DataFrame:
 
 
 def sidecar_members(sidecars: DataFrame) -> DataFrame:
-    """Sidecars in buckets of their own, over all primaries; the order is that of primaries, then of places."""
-    ordered = sidecars.withColumnsRenamed({"ordinal": "primary_ordinal"}).withColumn("ordinal", F.col("primary_ordinal") * 1000 + F.col("pos"))
-    return duplicate_members(ordered, "s")
+    """Sidecars in buckets of their own, over all primaries, with g and g_pos of the first; the order is that of primaries, then of places."""
+    first = F.min(F.struct("ordinal", "pos"))
+    groups = sidecars.groupBy(*BUCKET).agg(F.count("*").alias("n"), first.alias("_first")).where("n > 1").select(*BUCKET, "n", F.col("_first.ordinal").alias("g"), F.col("_first.pos").alias("g_pos"))
+    return sidecars.join(numbered(groups, "s", "g_pos"), BUCKET)
 
 
 def group_sidecars(members: DataFrame, sidecars: DataFrame, ignore_json: bool = False) -> DataFrame:
@@ -134,13 +135,23 @@ def merge_needs(grouped: DataFrame, keepers: DataFrame) -> DataFrame:
     return need.withColumn("need", F.col("required") - F.coalesce("own", F.lit(0))).where("need > 0").select("g", "key", "need")
 
 
+#: Parts into which the candidates for a merge are dealt before the first of them are chosen.
+PARTS = 256
+
+
 def allocated(members: DataFrame, grouped: DataFrame, keepers: DataFrame) -> DataFrame:
-    """Sidecars of duplicates (g, ordinal, pos, ..., merge): the first of each needed key, by the duplicates' order, are merged."""
+    """Sidecars of duplicates (g, ordinal, pos, ..., merge): the first of each needed key, by the duplicates' order, are merged.
+
+    Only the first of each part of a key's candidates can be among the first of
+    all, so that no task ranks more than a part of a large bucket.
+    """
     moved = grouped.join(keepers, "g").where("ordinal <> keeper_ordinal")
     needs = merge_needs(grouped, keepers)
     order = members.select("g", "ordinal", F.lower("label").alias("_l"), F.lower("relative_path").alias("_r"))
-    ranked = moved.join(needs, ["g", "key"]).join(order, ["g", "ordinal"]).withColumn("_rank", F.row_number().over(W.partitionBy("g", "key").orderBy("_l", "_r", "ordinal", "pos")))
-    merged = ranked.where("_rank <= need").select("ordinal", "pos", F.lit(True).alias("merge"))
+    ranked = moved.join(needs, ["g", "key"]).join(order, ["g", "ordinal"]).withColumn("_part", F.pmod(F.xxhash64("ordinal", "pos"), F.lit(PARTS)))
+    for parts in (["_part"], []):
+        ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy("g", "key", *parts).orderBy("_l", "_r", "ordinal", "pos"))).where("_rank <= need")
+    merged = ranked.select("ordinal", "pos", F.lit(True).alias("merge"))
     return moved.join(merged, ["ordinal", "pos"], "left").withColumn("merge", F.coalesce("merge", F.lit(False)))
 
 
@@ -171,6 +182,7 @@ def _file_rows(files: DataFrame, role: str, output_root: str, words: dict[str, t
         _by_fate("fate", {"unique": message}).alias("message"), F.col("size_bytes").cast("long").alias("size_bytes"), F.col("digest").alias("xxh128"), F.col("label").alias("input_root"),
         F.when(grouped, sections[1]).otherwise(sections[0]).alias("o_section"), F.when(grouped, F.col("g")).otherwise(0).cast("long").alias("o_group"), (F.col("fate") == "duplicate").cast("int").alias("o_part"),
         F.when(ranked, F.lower("label")).otherwise("").alias("o_label"), F.when(ranked, F.lower("relative_path")).otherwise("").alias("o_path"), F.when(F.col("fate") == "keeper", 0).otherwise(F.col("ordinal")).cast("long").alias("o_ordinal"), F.lit(0).cast("long").alias("o_pos"),
+        F.lower("label").alias("v_label"), F.lower("relative_path").alias("v_path"),
     )
 
 
@@ -195,11 +207,12 @@ def _sidecar_rows(sidecars: DataFrame, output_root: str) -> DataFrame:
         F.lit("").alias("message"), F.col("size_bytes").cast("long").alias("size_bytes"), F.col("digest").alias("xxh128"), F.col("p_label").alias("input_root"),
         F.when(F.col("fate") == "unique", 0).otherwise(2).alias("o_section"), F.when(F.col("fate") == "unique", 0).otherwise(F.col("g")).cast("long").alias("o_group"), moved.cast("int").alias("o_part"),
         F.when(ranked, F.lower("p_label")).otherwise("").alias("o_label"), F.when(ranked, F.lower("p_relative")).otherwise("").alias("o_path"), F.when(F.col("fate") == "keeper", 0).otherwise(F.col("ordinal")).cast("long").alias("o_ordinal"), (F.col("pos") + 1).cast("long").alias("o_pos"),
+        F.lower("p_label").alias("v_label"), F.lower("p_relative").alias("v_path"),
     )
 
 
 def plan(entries: DataFrame, sidecars: DataFrame, others: DataFrame, output_root: str, ignore_json: bool = False) -> DataFrame:
-    """Every file with what becomes of it: the log columns (but mode and timestamp) and o_* columns that give the rows' order.
+    """Every file with what becomes of it: the log columns (but mode and timestamp), o_* columns that give the rows' order, and v_* that give it within conflicts when moves are verified.
 
     Only the small tables of decisions (members of groups, keepers, merges) are
     stored on the way; every file is then read once more and judged in place.
@@ -230,7 +243,9 @@ def plan(entries: DataFrame, sidecars: DataFrame, others: DataFrame, output_root
     )
 
 
+#: Order of a plan's log, and of the log of verified moves.
 ORDER = ["o_section", "o_group", "o_part", "o_label", "o_path", "o_ordinal", "o_pos"]
+VERIFY_ORDER = ["o_section", "o_group", "o_part", "v_label", "v_path", "o_ordinal", "o_pos"]
 
 
 def as_log(rows: DataFrame, mode: str) -> DataFrame:

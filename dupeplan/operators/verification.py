@@ -10,10 +10,12 @@ from dupeplan.schema import MERGE_DISPOSITION
 
 
 def byte_groups(entries: DataFrame, sidecars: DataFrame, others: DataFrame) -> DataFrame:
-    """Files of all buckets with several, of the three roles: file_role, group_id, g, ordinal, path, label, size_bytes, digest."""
+    """Files of all buckets with several, of the three roles: file_role, group_id, first (whether it is its group's), g, ordinal, pos, path, label, size_bytes, digest."""
     parts = []
-    for role, members in (("primary", planning.duplicate_members(entries, "m")), ("sidecar", planning.sidecar_members(sidecars)), ("uncategorized", planning.duplicate_members(others, "u"))):
-        parts.append(members.select(F.lit(role).alias("file_role"), "group_id", "g", "ordinal", "path", "label", "size_bytes", "digest"))
+    one = lambda members: members.withColumns({"pos": F.lit(0).cast("long"), "g_pos": F.lit(0).cast("long")})
+    for role, members in (("primary", one(planning.duplicate_members(entries, "m"))), ("sidecar", planning.sidecar_members(sidecars)), ("uncategorized", one(planning.duplicate_members(others, "u")))):
+        first = (F.col("ordinal") == F.col("g")) & (F.col("pos") == F.col("g_pos"))
+        parts.append(members.select(F.lit(role).alias("file_role"), "group_id", first.alias("first"), "g", "ordinal", "pos", "path", "label", "size_bytes", "digest"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -24,8 +26,8 @@ def byte_log(groups: DataFrame, contents: DataFrame) -> DataFrame:
     the files are (a strong digest of the bytes will do).
     """
     held = groups.join(contents.select("path", "content"), "path", "left")
-    first = held.where("ordinal = g").select("file_role", "g", F.col("content").alias("_first"))
-    compared = held.join(first, ["file_role", "g"]).withColumn("differs", ~F.coalesce(F.col("content") == F.col("_first"), F.lit(False)))
+    first = held.where("first").select("file_role", "group_id", F.col("content").alias("_first"))
+    compared = held.join(first, ["file_role", "group_id"]).withColumn("differs", ~F.coalesce(F.col("content") == F.col("_first"), F.lit(False)))
     failed = compared.where("differs").select(
         F.lit("verify_failed").alias("disposition"), F.concat(F.lit("verify_manifest_"), "file_role").alias("event"), F.lit("error").alias("status"), "group_id", "file_role", F.col("label").alias("input_root"),
         F.col("path").alias("source_path"), "size_bytes", F.col("digest").alias("xxh128"), F.lit("same_manifest_hash_but_bytes_differ").alias("reason"),
@@ -57,7 +59,8 @@ def expected_checks(plan_rows: DataFrame) -> DataFrame:
     for disposition, (good, event, reason) in kept.items():
         checks = checks.when(F.col("disposition") == disposition, F.array(source(good, event, reason, "present")))
     blank = F.startswith("disposition", F.lit("kept_unique")) | F.startswith("disposition", F.lit("kept_sidecar_conflict"))
-    return plan_rows.select("group_id", "file_role", "input_root", "size_bytes", "xxh128", F.when(blank, "").otherwise(F.col("keeper_path")).alias("keeper_path"), F.inline(checks))
+    order = [c for c in planning.VERIFY_ORDER if c in plan_rows.columns]
+    return plan_rows.select("group_id", "file_role", "input_root", "size_bytes", "xxh128", F.when(blank, "").otherwise(F.col("keeper_path")).alias("keeper_path"), *order, F.inline(checks))
 
 
 def move_log(plan_rows: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def move_log(plan_rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("_trouble", trouble).select(
         F.when(F.col("_trouble").isNull(), F.col("good")).otherwise("verify_move_failed").alias("disposition"), "event", F.when(F.col("_trouble").isNull(), done).otherwise("error").alias("status"), "group_id", "file_role", "input_root",
         F.when(F.col("at") == "source", F.col("path")).otherwise("").alias("source_path"), F.when(F.col("at") == "destination", F.col("path")).otherwise("").alias("destination_path"), "keeper_path", "size_bytes", "xxh128",
-        F.coalesce("_trouble", "good_reason").alias("reason"),
+        F.coalesce("_trouble", "good_reason").alias("reason"), *[c for c in planning.VERIFY_ORDER if c in rows.columns], (F.col("at") == "destination").alias("o_at"),
     )
 
 

@@ -41,6 +41,27 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primaries of the inventory, each with a sidecar of its own kind (so that no bucket has a keeper) and a JSON sidecar.
+
+    JSON contents differ by key, lack keys, nest or cannot be read, by ordinal.
+    """
+    primaries = inventory(spark, sf_dir).where("file_role = 'primary'")
+    files = F.expr(
+        """array(
+             named_struct('role', 'primary', 'ext', '.jpg', 'i', 0L, 'content', content),
+             named_struct('role', 'sidecar', 'ext', '.jpg.json', 'i', 1L, 'content', CASE ordinal % 7 WHEN 5 THEN 'no json' WHEN 6 THEN '[1]'
+               ELSE concat('{"id": ', ordinal, ', "same": "x", "some": ', if(ordinal % 2 = 0, 'null', '1'), if(ordinal % 3 = 0, '', ', "deep": {"b": [1, 2], "a": "é"}'), '}') END),
+             named_struct('role', 'sidecar', 'ext', '.xmp', 'i', 2L, 'content', concat('own ', ordinal)))"""
+    )
+    each = primaries.select("ordinal", "label", "nas_root", F.regexp_replace("relative_path", "\\.jpg$", "").alias("stem"), F.explode(files).alias("f"))
+    relative = F.concat("stem", "f.ext")
+    return each.select(
+        "ordinal", F.col("f.role").alias("file_role"), "label", "nas_root", F.concat("nas_root", F.lit("/"), relative).alias("path"), relative.alias("relative_path"), F.when(F.col("f.role") == "sidecar", F.concat("nas_root", F.lit("/"), "stem", F.lit(".jpg"))).alias("primary_path"), F.col("f.i").alias("pos"),
+        F.octet_length("f.content").cast("long").alias("size_bytes"), F.sha2(F.col("f.content"), 256).alias("digest"), F.col("f.content").alias("content"),
+    )
+
+
 def split(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, sidecars, others) without contents."""
     plain = files.drop("content")

@@ -110,13 +110,72 @@ SELECT CASE WHEN trouble IS NOT NULL THEN 'verify_move_failed' WHEN d LIKE 'kept
   coalesce(trouble, CASE WHEN d LIKE 'kept_unique%' THEN 'unique_source_intact' WHEN d LIKE 'kept_sidecar_conf%' THEN 'sidecar_conflict_source_intact' WHEN d LIKE 'kept%' THEN 'keeper_source_intact' WHEN side = 'source' THEN 'duplicate_source_missing' WHEN d = 'planned_sidecar_merge' THEN 'merged_sidecar_present' ELSE 'duplicate_destination_present' END) AS reason
 FROM (SELECT checks.*, CASE WHEN expect = 'absent' THEN CASE WHEN fs.path IS NOT NULL THEN 'duplicate_source_still_exists' END WHEN fs.path IS NULL THEN 'expected_file_missing' WHEN fs.size_bytes <> checks.size_bytes THEN 'expected_file_size_mismatch' END AS trouble FROM checks LEFT JOIN fs ON fs.path = checks.path)"""
 
+#: Plan rows with their places in the log of the plan, and what orders them.
+_LINES = """,
+pn AS (SELECT plan.*, inv.ordinal, inv.pos, coalesce(e.g, u.g) AS g0, lower(coalesce(e.label, u.label)) AS vl, lower(coalesce(e.relative_path, u.relative_path)) AS vp,
+    CASE WHEN disposition LIKE 'kept_unique%' THEN 'unique' WHEN disposition LIKE 'kept_sidecar_conflict%' THEN 'conflict' WHEN disposition LIKE 'kept%' THEN 'keeper' ELSE 'duplicate' END AS fate
+  FROM plan JOIN inv ON inv.path = plan.source_path LEFT JOIN e ON inv.file_role <> 'uncategorized' AND e.ordinal = inv.ordinal LEFT JOIN u ON inv.file_role = 'uncategorized' AND u.ordinal = inv.ordinal),
+po AS (SELECT *, CASE file_role WHEN 'uncategorized' THEN 1 ELSE 0 END + CASE fate WHEN 'unique' THEN 0 ELSE 2 END AS o1, CASE fate WHEN 'unique' THEN 0 ELSE g0 END AS o2, CASE fate WHEN 'duplicate' THEN 1 ELSE 0 END AS o3,
+    CASE WHEN fate IN ('unique', 'duplicate') THEN vl ELSE '' END AS o4, CASE WHEN fate IN ('unique', 'duplicate') THEN vp ELSE '' END AS o5, CASE fate WHEN 'keeper' THEN 0 ELSE ordinal END AS o6, CASE file_role WHEN 'sidecar' THEN pos + 1 ELSE 0 END AS o7 FROM pn),
+lines AS (SELECT *, row_number() OVER (ORDER BY o1, o2, o3, o4, o5, o6, o7) - 1 AS line FROM po)"""
+#: States of merges, and the log of a dry run with hashes.
+_LOOKED = """SELECT x.*, s.path IS NOT NULL AS se, d.path IS NOT NULL AS de, o.path IS NOT NULL AS oe, s.size_bytes AS sz, d.size_bytes AS dz, o.size_bytes AS oz, s.digest AS sd, d.digest AS dd, o.digest AS od,
+    CASE WHEN d.size_bytes <> x.size_bytes THEN 'not_applicable' WHEN d.digest = x.xxh128 THEN 'matched' ELSE 'mismatched' END AS dc, CASE WHEN o.size_bytes <> x.size_bytes THEN 'not_applicable' WHEN o.digest = x.xxh128 THEN 'matched' ELSE 'mismatched' END AS oc,
+    x.disposition = 'planned_sidecar_merge' AS mg
+  FROM {rows} x LEFT JOIN {at} s ON s.path = x.source_path LEFT JOIN {at} d ON d.path = x.destination_path LEFT JOIN {at} o ON o.path = x.duplicate_output_path"""
+_STATED = """SELECT *, CASE WHEN mg THEN
+      CASE WHEN de AND dc <> 'matched' THEN 'merge_destination_hash_mismatch' WHEN de AND se AND oe THEN 'destination_exists' WHEN se AND sz <> size_bytes THEN 'source_size_mismatch' WHEN se THEN 'ready'
+        WHEN de AND oe AND oc <> 'matched' THEN 'destination_exists' WHEN de THEN 'already_moved' ELSE 'source_missing' END
+    WHEN se AND de THEN 'destination_exists' WHEN se THEN CASE WHEN sz <> size_bytes THEN 'source_size_mismatch' ELSE 'ready' END WHEN de THEN CASE WHEN dz <> size_bytes THEN 'destination_exists' ELSE 'already_moved' END ELSE 'source_missing' END AS state,
+    CASE WHEN mg AND de AND dc <> 'matched' THEN dc WHEN mg AND de AND NOT se AND oe AND oc <> 'matched' THEN oc ELSE 'not_checked' END AS looked,
+    CASE WHEN mg AND de AND dc = 'mismatched' THEN dd WHEN mg AND de AND dc = 'matched' AND NOT se AND oe AND oc = 'mismatched' THEN od ELSE '' END AS seen
+  FROM {looked}"""
+_ACTION = "CASE WHEN state = 'ready' AND mg AND de THEN duplicate_output_path WHEN state IN ('ready', 'already_moved') THEN destination_path END"
+_LOG = f"""{_LINES},
+cut AS (SELECT * FROM lines WHERE NOT (disposition = 'planned_duplicate_primary' AND CAST(regexp_extract(source_path, 'IMG_([0-9]+)', 1) AS INT) % 10 = 6)),
+prim AS (SELECT group_id, source_path AS bundle, line AS bat FROM cut WHERE disposition IN ('planned_duplicate_primary', 'planned_duplicate_uncategorized')),
+bund AS (SELECT cut.*, bat, 1 AS part FROM cut JOIN prim ON bat = line
+  UNION ALL SELECT cut.*, bat, CASE cut.disposition WHEN 'planned_sidecar_merge' THEN 3 ELSE 2 END FROM cut JOIN prim ON prim.group_id = cut.group_id AND bundle = primary_source_path WHERE cut.disposition IN ('planned_duplicate_sidecar', 'planned_sidecar_merge')),
+kept AS (SELECT group_id, source_path AS k_path, cut.size_bytes AS k_size, xxh128 AS k_digest, file_role AS k_role, input_root AS k_root, f.path IS NOT NULL AS ke, f.size_bytes AS kfs, f.digest AS kfd FROM cut LEFT JOIN fs f ON f.path = source_path WHERE disposition IN ('kept_duplicate_keeper', 'kept_duplicate_uncategorized')),
+look AS ({_LOOKED.format(rows="bund", at="fs")}), stat AS ({_STATED.format(looked="look")}),
+twice AS (SELECT p FROM (SELECT destination_path AS p FROM bund UNION ALL SELECT duplicate_output_path FROM bund WHERE duplicate_output_path <> '') GROUP BY p HAVING count(*) > 1),
+full_rows AS (SELECT stat.*, kept.* EXCLUDE (group_id), {_ACTION} AS action, destination_path IN (SELECT p FROM twice) OR duplicate_output_path IN (SELECT p FROM twice) AS shared,
+    CASE WHEN dd = xxh128 THEN 'matched' ELSE 'mismatched' END AS wd, CASE WHEN sd = xxh128 THEN 'matched' ELSE 'mismatched' END AS ws FROM stat LEFT JOIN kept USING (group_id)),
+said AS (SELECT bat, CASE WHEN any_value(k_path) IS NULL THEN 'keeper_missing_from_plan' WHEN NOT bool_or(ke) THEN 'keeper_missing' WHEN any_value(kfs) <> any_value(k_size) THEN 'keeper_size_mismatch' WHEN any_value(kfd) <> any_value(k_digest) THEN 'keeper_hash_mismatch'
+    WHEN bool_or(source_path = k_path) THEN 'duplicate_source_is_keeper' WHEN bool_or(shared) THEN 'duplicate_destination_in_plan' WHEN bool_and(state = 'already_moved') THEN CASE WHEN bool_or(wd <> 'matched') THEN 'destination_hash_mismatch' ELSE 'already_moved' END
+    WHEN bool_or(state = 'merge_destination_hash_mismatch') THEN 'merge_destination_hash_mismatch' WHEN bool_or(state = 'destination_exists') THEN 'destination_exists' WHEN bool_or(state = 'source_size_mismatch') THEN 'source_size_mismatch'
+    WHEN bool_or(state = 'source_missing') THEN CASE WHEN bool_or(state IN ('ready', 'already_moved')) THEN 'partial_bundle_state' ELSE 'source_missing' END WHEN bool_or(state = 'already_moved') THEN 'partial_bundle_state' WHEN bool_or(ws <> 'matched') THEN 'source_hash_mismatch' ELSE '' END AS verdict FROM full_rows GROUP BY bat),
+v AS (SELECT *, coalesce(bool_or(wd <> 'matched') OVER before, false) AS after_d, coalesce(bool_or(ws <> 'matched') OVER before, false) AS after_s FROM full_rows JOIN said USING (bat) WINDOW before AS (PARTITION BY bat ORDER BY part, source_path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, verdict IN ('already_moved', 'destination_hash_mismatch') AND NOT after_d AS hd, verdict IN ('', 'source_hash_mismatch') AND NOT after_s AS hs, verdict LIKE 'keeper_%' OR verdict = 'duplicate_source_is_keeper' AS early,
+    (verdict = 'source_size_mismatch' AND state = 'source_size_mismatch') OR (verdict IN ('partial_bundle_state', 'source_missing') AND state IN ('source_missing', 'already_moved')) AS failed FROM v),
+body AS (SELECT bat, part, CAST(0 AS BIGINT) AS o_line, group_id,
+    CASE verdict WHEN '' THEN disposition WHEN 'already_moved' THEN CASE file_role WHEN 'uncategorized' THEN 'already_moved_duplicate_uncategorized' WHEN 'primary' THEN 'already_moved_duplicate_primary' ELSE CASE WHEN mg THEN 'already_merged_sidecar' ELSE 'already_moved_sidecar' END END ELSE 'skipped_error_' || file_role END AS disposition,
+    CASE file_role WHEN 'uncategorized' THEN 'execute_plan_uncategorized_move' WHEN 'primary' THEN 'execute_plan_move' ELSE CASE WHEN mg THEN 'execute_plan_sidecar_merge' ELSE 'execute_plan_sidecar_move' END END AS event,
+    CASE verdict WHEN '' THEN 'planned' WHEN 'already_moved' THEN 'kept' ELSE 'error' END AS status, file_role, source_path,
+    CASE WHEN early OR verdict = 'duplicate_destination_in_plan' OR failed OR hd THEN destination_path ELSE coalesce(action, destination_path) END AS destination_path, duplicate_output_path, keeper_path, primary_source_path,
+    CASE verdict WHEN '' THEN 'validated' ELSE verdict END AS reason, size_bytes, xxh128,
+    CASE WHEN early OR verdict = 'duplicate_destination_in_plan' THEN verdict WHEN hd THEN CASE wd WHEN 'matched' THEN 'already_moved' ELSE 'destination_hash_mismatch' END WHEN hs THEN CASE ws WHEN 'matched' THEN 'validated' ELSE 'source_hash_mismatch' END
+      WHEN verdict IN ('merge_destination_hash_mismatch', 'destination_exists') AND state IN ('destination_exists', 'merge_destination_hash_mismatch') THEN state WHEN failed THEN verdict WHEN state = 'ready' THEN 'validated' WHEN mg AND state = 'destination_exists' AND looked <> 'not_checked' THEN 'destination_hash_mismatch' ELSE state END AS validation_result,
+    CASE verdict WHEN '' THEN 'planned' WHEN 'already_moved' THEN 'already_moved' ELSE 'skipped' END AS action_taken,
+    CASE WHEN (verdict = 'duplicate_destination_in_plan' AND shared) OR failed THEN 'not_applicable' WHEN early OR verdict = 'duplicate_destination_in_plan' THEN 'not_checked' WHEN hd THEN wd WHEN hs THEN ws ELSE looked END AS hash_check,
+    coalesce(CASE WHEN early OR verdict = 'duplicate_destination_in_plan' OR failed THEN '' WHEN hd THEN dd WHEN hs THEN sd ELSE seen END, '') AS observed_hash, input_root, '' AS message FROM h),
+keepers AS (SELECT bat, 0 AS part, CAST(0 AS BIGINT) AS o_line, group_id, CASE k_role WHEN 'uncategorized' THEN CASE WHEN bad THEN 'uncategorized_keeper_error' ELSE 'verified_uncategorized_keeper' END ELSE CASE WHEN bad THEN 'keeper_error' ELSE 'verified_keeper' END END AS disposition,
+    'execute_plan_keeper' AS event, CASE WHEN bad THEN 'error' ELSE 'kept' END AS status, CASE k_role WHEN 'uncategorized' THEN 'uncategorized' ELSE 'keeper' END AS file_role, k_path AS source_path, '' AS destination_path, '' AS duplicate_output_path, k_path AS keeper_path, '' AS primary_source_path,
+    CASE WHEN bad THEN verdict ELSE 'keeper_verified' END AS reason, k_size AS size_bytes, k_digest AS xxh128, CASE WHEN bad THEN verdict ELSE 'validated' END AS validation_result, CASE WHEN bad THEN 'skipped' ELSE 'keeper_verified' END AS action_taken,
+    CASE verdict WHEN 'keeper_missing' THEN 'not_applicable' WHEN 'keeper_size_mismatch' THEN 'not_applicable' WHEN 'keeper_hash_mismatch' THEN 'mismatched' ELSE 'matched' END AS hash_check, CASE WHEN verdict IN ('keeper_missing', 'keeper_size_mismatch') THEN '' ELSE kfd END AS observed_hash, k_root AS input_root, '' AS message
+  FROM (SELECT *, verdict IN ('keeper_missing', 'keeper_size_mismatch', 'keeper_hash_mismatch') AS bad FROM h WHERE part = 1 AND k_path IS NOT NULL)),
+lost AS (SELECT CAST(-1 AS BIGINT) AS bat, CASE disposition WHEN 'planned_sidecar_merge' THEN 1 ELSE 0 END AS part, line AS o_line, group_id, 'orphan_plan_sidecar' AS disposition, 'execute_plan_orphan_sidecar' AS event, 'error' AS status, 'sidecar' AS file_role, source_path, destination_path, '' AS duplicate_output_path, keeper_path, primary_source_path,
+    'orphan_plan_sidecar' AS reason, size_bytes, '' AS xxh128, 'orphan_plan_sidecar' AS validation_result, 'skipped' AS action_taken, 'not_applicable' AS hash_check, '' AS observed_hash, input_root, 'planned sidecar row has no matching planned primary row' AS message
+  FROM cut WHERE disposition IN ('planned_duplicate_sidecar', 'planned_sidecar_merge') AND NOT EXISTS (SELECT 1 FROM prim WHERE prim.group_id = cut.group_id AND bundle = cut.primary_source_path)),
+log AS (FROM lost UNION ALL FROM keepers UNION ALL FROM body)"""
+
 SQL: dict[str, str] = {
     "inventory_manifest": f"{_INV} SELECT ordinal, file_role, label, path, relative_path, coalesce(primary_path, '') AS primary_path, size_bytes, digest FROM inv",
     "file_role_counts": f"{_INV} SELECT file_role, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM inv GROUP BY 1",
     "path_features": f"{_INV} SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '[^/](\\.[^./]+)$', 1) AS suffix, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]+$', '') AS stem, regexp_replace(path, '/[^/]*$', '') AS parent, CAST({CLASS} AS BIGINT) AS path_class, CAST({SCORE} AS BIGINT) AS date_score, file_role = 'primary' AS is_primary FROM inv",
     "primary_groups": f"{P} SELECT group_id, g AS first_ordinal, ordinal, path, CAST(n AS BIGINT) AS n FROM m",
     "primary_uniques": f"{P} SELECT path, size_bytes, digest FROM e WHERE n = 1",
-    "sidecar_groups": f"{P}, so AS (SELECT *, ordinal * 1000 + pos AS o, count(*) OVER b AS n, min(ordinal * 1000 + pos) OVER b AS g FROM s WINDOW b AS (PARTITION BY size_bytes, digest)) SELECT 's' || lpad(CAST(dense_rank() OVER (ORDER BY g) AS VARCHAR), 6, '0') AS group_id, path, CAST(n AS BIGINT) AS n FROM so WHERE n > 1",
+    "sidecar_groups": f"{P}, sr AS (SELECT *, row_number() OVER (ORDER BY ordinal, pos) AS o FROM s), so AS (SELECT *, count(*) OVER b AS n, min(o) OVER b AS g FROM sr WINDOW b AS (PARTITION BY size_bytes, digest)) SELECT 's' || lpad(CAST(dense_rank() OVER (ORDER BY g) AS VARCHAR), 6, '0') AS group_id, path, CAST(n AS BIGINT) AS n FROM so WHERE n > 1",
     "uncategorized_groups": f"{P} SELECT group_id, path, CAST(n AS BIGINT) AS n FROM um",
     "entry_bundles": f"{P} SELECT e.ordinal, e.path, count(s.path) AS sidecars, CAST(e.size_bytes + coalesce(sum(s.size_bytes), 0) AS BIGINT) AS bytes FROM e LEFT JOIN s USING (ordinal) GROUP BY e.ordinal, e.path, e.size_bytes",
     "collapse_paths": f"{_INV} SELECT path, ordinal, size_bytes, digest FROM inv WHERE file_role = 'primary'",
@@ -136,18 +195,34 @@ SQL: dict[str, str] = {
     "plan_breakdown": f"{P} SELECT kind, key, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT 'file_role' AS kind, file_role AS key, size_bytes FROM plan WHERE {_OUT} UNION ALL SELECT 'disposition', disposition, size_bytes FROM plan WHERE {_OUT} UNION ALL SELECT 'input_root', input_root, size_bytes FROM plan WHERE {_OUT}) GROUP BY 1, 2",
     "plan_skipped": f"{P} SELECT disposition, count(*) AS rows FROM plan WHERE status IN ('skipped', 'error') GROUP BY 1",
     "destination_conflicts": f"{P} SELECT 'move' AS kind, (SELECT count(*) FROM (SELECT destination_path FROM plan WHERE {_OUT} GROUP BY 1 HAVING count(*) > 1)) AS conflicts UNION ALL SELECT 'merge', (SELECT count(*) FROM (SELECT destination_path FROM plan WHERE {_MERGE} GROUP BY 1 HAVING count(*) > 1))",
+    "json_conflict_groups": f"{P} SELECT g, group_id, ordinal, path || '.json' AS path, path AS primary_source_path FROM m",
     "json_key_diff": f"""{P},
-jf AS (SELECT m.g, m.group_id, m.path AS primary_source_path, s.path, s.content FROM s JOIN m USING (ordinal) WHERE s.path LIKE '%.json' AND m.g NOT IN (SELECT g FROM keep)),
-jv AS (SELECT jf.*, k AS json_key, regexp_extract(content, '"' || k || '":([0-9]+)', 1) AS json_value FROM jf, (VALUES ('quality'), ('toxic')) t(k))
-SELECT group_id, json_key, 'differing' AS status, primary_source_path, path AS source_path, json_value, sha256(json_value) AS value_sha256, count(*) OVER (PARTITION BY g, json_key, json_value) AS value_count_in_group, CAST(total AS BIGINT) AS json_sidecar_count, 'json_key_differs' AS reason, '' AS message
-FROM jv JOIN (SELECT g, json_key, count(*) AS total FROM jv GROUP BY ALL HAVING count(DISTINCT json_value) > 1) USING (g, json_key)""",
+jf AS (SELECT g, group_id, ordinal, path AS primary_source_path, path || '.json' AS path, count(*) OVER (PARTITION BY g) AS total FROM m),
+jv AS (SELECT jf.*, k AS json_key, CASE k WHEN 'id' THEN CAST(ordinal AS VARCHAR) WHEN 'same' THEN '"x"' WHEN 'some' THEN CASE WHEN ordinal % 2 = 0 THEN 'null' ELSE '1' END WHEN 'deep' THEN CASE WHEN ordinal % 3 = 0 THEN 'null' ELSE '{{"a":"é","b":[1,2]}}' END END AS json_value
+  FROM jf, (VALUES ('id'), ('same'), ('some'), ('deep')) t(k) WHERE ordinal % 7 < 5)
+SELECT group_id, json_key, 'differing' AS status, primary_source_path, path AS source_path, json_value, sha256(json_value) AS value_sha256, count(*) OVER (PARTITION BY g, json_key, json_value) AS value_count_in_group, total AS json_sidecar_count, 'json_key_differs' AS reason, '' AS message
+FROM jv JOIN (SELECT g, json_key FROM jv GROUP BY ALL HAVING count(DISTINCT json_value) > 1) USING (g, json_key)
+UNION ALL SELECT group_id, '', 'error', primary_source_path, path, '', '', NULL, total, 'json_parse_error', CASE ordinal % 7 WHEN 5 THEN 'Expecting value: line 1 column 1 (char 0)' ELSE 'JSON sidecar root is not an object' END FROM jf WHERE ordinal % 7 > 4""",
     "plan_bundles": f"{P}{_VERDICT} SELECT group_id, bundle, CAST(kind AS BIGINT) AS kind, disposition, source_path, destination_path, duplicate_output_path, k_path AS keeper FROM st",
     "orphan_sidecars": f"{P}, cut AS (SELECT * FROM plan WHERE NOT (disposition = 'planned_duplicate_primary' AND CAST(regexp_extract(source_path, 'IMG_([0-9]+)', 1) AS INT) % 2 = 0)) SELECT c.group_id, c.disposition, c.source_path FROM cut c WHERE c.disposition IN ('planned_duplicate_sidecar', 'planned_sidecar_merge') AND NOT EXISTS (SELECT 1 FROM cut p WHERE p.disposition LIKE 'planned_duplicate_prim%' AND p.group_id = c.group_id AND p.source_path = c.primary_source_path)",
     "row_state": f"{P}{_VERDICT} SELECT source_path, disposition, state FROM st",
+    "merge_row_state": f"""{P}{_VERDICT},
+again AS (SELECT * FROM fs UNION ALL SELECT path || '.again', is_file, size_bytes, CASE WHEN size_bytes % 2 = 0 THEN 'other' ELSE digest END FROM fs WHERE path LIKE '/dupes%'),
+merges AS (SELECT * REPLACE ('planned_sidecar_merge' AS disposition, CASE duplicate_output_path WHEN '' THEN destination_path || '.again' ELSE duplicate_output_path END AS duplicate_output_path) FROM br),
+look AS ({_LOOKED.format(rows="merges", at="again")}), stat AS ({_STATED.format(looked="look")})
+SELECT source_path, state, looked AS hash_check, seen AS observed_hash, coalesce({_ACTION}, '') AS action_destination FROM stat""",
+    "execution_log": f"{P}{_LOG} SELECT * EXCLUDE (bat, part, o_line) FROM log",
+    "execution_log_order": f"{P}{_LOG} SELECT row_number() OVER (ORDER BY bat, part, o_line, source_path) - 1 AS position, event, source_path FROM log",
+    "plan_log_order": f"{P}{_LINES} SELECT line AS position, disposition, source_path FROM lines",
+    "verify_move_order": f"""{P}{_LINES}, checks AS (SELECT o1, o2, o3, vl, vp, o6, o7, false AS there, source_path, disposition, file_role FROM lines UNION ALL SELECT o1, o2, o3, vl, vp, o6, o7, true, destination_path, disposition, file_role FROM lines WHERE status = 'planned')
+SELECT row_number() OVER (ORDER BY o1, o2, o3, vl, vp, o6, o7, there) - 1 AS position, CASE WHEN disposition LIKE 'kept_unique_unc%' THEN 'verify_move_unique_uncategorized' WHEN disposition LIKE 'kept_unique%' THEN 'verify_move_unique' WHEN disposition LIKE 'kept_sidecar_conf%' THEN 'verify_move_sidecar_conflict'
+    WHEN disposition LIKE 'kept_duplicate_unc%' THEN 'verify_move_uncategorized_keeper' WHEN disposition LIKE 'kept%' THEN 'verify_move_keeper' WHEN NOT there THEN 'verify_move_duplicate_source' WHEN disposition = 'planned_sidecar_merge' THEN 'verify_move_sidecar_merge' ELSE 'verify_move_duplicate_destination' END AS event,
+  CASE WHEN there THEN '' ELSE source_path END AS source_path, CASE WHEN there THEN source_path ELSE '' END AS destination_path FROM checks""",
+    "xxh128_groups": f"{_INV} SELECT path, size_bytes, min(path) OVER (PARTITION BY content) AS first_path, count(*) OVER (PARTITION BY content) AS n FROM inv",
     "bundle_verdict": verdict(False),
     "bundle_verdict_hashed": verdict(True),
     "byte_verify": f"""WITH {INVENTORY_SQL},
-w AS (SELECT *, CASE file_role WHEN 'sidecar' THEN ordinal * 1000 + pos ELSE ordinal END AS o, substr(digest, 1, 1) AS weak FROM inv),
+w AS (SELECT *, row_number() OVER (ORDER BY ordinal, pos) AS o, substr(digest, 1, 1) AS weak FROM inv),
 b AS (SELECT *, count(*) OVER q AS n, min(o) OVER q AS g, first_value(content) OVER (q ORDER BY o) AS head FROM w WINDOW q AS (PARTITION BY file_role, size_bytes, weak)),
 i AS (SELECT file_role, g, substr(CASE file_role WHEN 'primary' THEN 'm' WHEN 'sidecar' THEN 's' ELSE 'u' END, 1, 1) || lpad(CAST(row_number() OVER (PARTITION BY file_role ORDER BY g) AS VARCHAR), 6, '0') AS group_id FROM (SELECT DISTINCT file_role, g FROM b WHERE n > 1)),
 c AS (SELECT b.*, group_id, content <> head AS differs FROM b JOIN i USING (file_role, g) WHERE n > 1)

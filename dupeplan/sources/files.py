@@ -2,69 +2,55 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from dupeplan.sources.scratch import stored
 
 CHUNK = 1 << 20
 TREE = "dir string, name string, path string, is_file boolean, is_dir boolean, is_link boolean, size_bytes long"
 
 
-class _Dirs(InputPartition):
-    def __init__(self, dirs: list[str]):
-        self.dirs = dirs
-
-
-class _TreeReader(DataSourceReader):
-    """One partition for each part of the directories; linked directories are listed but not entered."""
-
-    def __init__(self, root: str, parts: int):
-        self.root, self.parts = root, parts
-
-    def partitions(self) -> list[InputPartition]:
-        found = [self.root] if os.path.isdir(self.root) else []
-        for top, dirs, _ in os.walk(self.root):
-            dirs[:] = [d for d in dirs if not os.path.islink(os.path.join(top, d))]
-            found += [os.path.join(top, d) for d in dirs]
-        found.sort()
-        size = max(1, -(-len(found) // self.parts))
-        return [_Dirs(found[i : i + size]) for i in range(0, len(found), size)] or [_Dirs([])]
-
-    def read(self, partition: _Dirs) -> Iterator[tuple]:
-        for folder in partition.dirs:
-            relative = os.path.relpath(folder, self.root).replace(os.sep, "/")
-            with os.scandir(folder) as entries:
-                for e in sorted(entries, key=lambda e: e.name):
-                    link = e.is_symlink()
-                    is_file = e.is_file()
-                    yield relative, e.name, e.path, is_file, e.is_dir(), link, e.stat().st_size if is_file else 0
-
-
-class FileTree(DataSource):
-    """``spark.read.format("filetree").load(root)``: all entries below a root, hidden ones too.
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """All entries below a root, hidden ones too; linked directories are listed but not entered.
 
-    The root must be mounted on the driver and the executors alike.
+    One step for each level of directories, each listed where a task runs and
+    stored: neither the driver nor a task ever holds more than one directory.
+    The root must be mounted on the executors.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "filetree"
-
-    def schema(self) -> str:
-        return TREE
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"], int(self.options.get("parts", "64")))
-
-
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").load(root)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for relative, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                with contextlib.suppress(NotADirectoryError), os.scandir(folder) as entries:
+                    while part := list(itertools.islice(entries, 10_000)):
+                        rows = []
+                        for e in part:
+                            is_file = e.is_file()
+                            rows.append((relative, e.name, e.path, is_file, e.is_dir(), e.is_symlink(), e.stat().st_size if is_file else 0))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    names = [x.split()[0] for x in TREE.split(", ")]
+    types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()]
+    start = [(".", root)] if os.path.isdir(root) else []
+    level, parts = spark.createDataFrame(start, "dir string, folder string"), None
+    while True:
+        found = stored(level.mapInArrow(run, TREE), "tree")
+        parts = found if parts is None else parts.unionByName(found)
+        below = F.when(F.col("dir") == ".", F.col("name")).otherwise(F.concat("dir", F.lit("/"), "name"))
+        level = found.where("is_dir AND NOT is_link").select(below.alias("dir"), F.col("path").alias("folder"))
+        count = level.count()
+        if not count:
+            return parts
+        level = level.repartition(min(count, 16 * spark.sparkContext.defaultParallelism))
 
 
 def regular_files(spark: SparkSession, root: str) -> DataFrame:
@@ -78,7 +64,7 @@ def directories(spark: SparkSession, root: str, depth: int) -> DataFrame:
     return tree(spark, root).where("is_dir AND NOT is_link").select(relative.alias("dir")).where(F.size(F.split("dir", "/")) <= depth)
 
 
-def _digest(path: str) -> tuple[str | None, str | None]:
+def file_digest(path: str) -> tuple[str | None, str | None]:
     state = xxhash.xxh3_128()
     try:
         with open(path, "rb", buffering=0) as f:
@@ -96,7 +82,7 @@ def with_digests(files: DataFrame, path: str = "path") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(None, None) if p is None else _digest(p) for p in batch.column(names.index(path)).to_pylist()]
+            found = [(None, None) if p is None else file_digest(p) for p in batch.column(names.index(path)).to_pylist()]
             columns = [*batch.columns, pa.array([d for d, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "digest", "digest_error"])
 
@@ -124,13 +110,29 @@ def snapshot(spark: SparkSession, paths: DataFrame, with_digest: bool = True) ->
             for p in batch.column(0).to_pylist():
                 if p and os.path.exists(p):
                     is_file = os.path.isfile(p)
-                    rows.append({"path": p, "is_file": is_file, "size_bytes": os.stat(p).st_size, "digest": _digest(p)[0] if is_file and with_digest else None})
+                    rows.append({"path": p, "is_file": is_file, "size_bytes": os.stat(p).st_size, "digest": file_digest(p)[0] if is_file and with_digest else None})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("path", pa.string()), ("is_file", pa.bool_()), ("size_bytes", pa.int64()), ("digest", pa.string())])
     return paths.select("path").distinct().mapInArrow(run, "path string, is_file boolean, size_bytes long, digest string")
 
 
+def write_files(contents: DataFrame) -> int:
+    """Writes (path, content) as files where tasks run, each renamed into place when whole; how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                made = f"{path}.{uuid.uuid4().hex}"
+                with open(made, "wb") as f:
+                    f.write(content)
+                os.replace(made, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return contents.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def equal_files(pairs: DataFrame) -> DataFrame:
     """Adds equal to pairs (left, right): sizes first, then bytes piece by piece until they differ."""
     names = pairs.columns

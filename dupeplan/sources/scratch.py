@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +16,25 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     The folder is ``spark.checkpoint.dir``, or one inside the warehouse where
     that is unset; tables go when the driver exits.
     """
-    spark = df.sparkSession
+    path = _path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, tag: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def local_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared folder as a mounted path, for files that are no tables; it goes when the driver exits."""
+    place = urlparse(_path(spark, tag))
+    if place.scheme not in ("", "file"):
+        raise ValueError(f"files need a shared folder that is mounted: {place.geturl()}")
+    os.makedirs(place.path)
+    return place.path
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -129,6 +129,113 @@ def test_refused_moves(spark, tmp_path, change, reason):
     assert [r["reason"] for r in rows_of(tmp_path / "x.csv")][-1] == reason
 
 
+@pytest.mark.parametrize(
+    ("change", "reason", "verify"),
+    [
+        (lambda t: (t / "one/b.jpg").unlink(), "keeper_missing", False),
+        (lambda t: write(t, {"one/b.jpg": "much longer"}), "keeper_size_mismatch", False),
+        (lambda t: write(t, {"one/b.jpg": "dnoces"}), "keeper_hash_mismatch", True),
+        (lambda t: write(t, {"two/b.jpg": "dnoces"}), "source_hash_mismatch", True),
+        (lambda t: write(t, {"two/b.jpg": "dnoces"}), "", False),
+        (lambda t: write(t, {"two/b.mov": "much longer"}), "source_size_mismatch", False),
+        (lambda t: (t / "two/b.mov").unlink(), "partial_bundle_state", False),
+        (lambda t: write(t, {"dupes/two/b.jpg": "second"}), "destination_exists", False),
+    ],
+)
+def test_changes_after_validation(spark, tmp_path, change, reason, verify):
+    """What changes between the validation of all bundles and a bundle's own turn is noticed."""
+    from dupeplan.operators import moving
+    from dupeplan.sources import manifests
+
+    paths = [manifest(spark, tmp_path, n, {"a.jpg": "first", "b.jpg": "second", "b.mov": "live"}) for n in ("one", "two")]
+    commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
+    plan = manifests.read_csv(spark, str(tmp_path / "p.csv"), ["disposition"], "plan")
+    rows = moving.move_bundles(spark, plan, verify)
+    done = [next(rows), next(rows)]
+    assert [r["status"] for r in done] == ["kept", "moved"] and done[1]["source_path"].endswith("a.jpg")
+    change(tmp_path)
+    rest = list(rows)
+    if reason:
+        assert {r["reason"] for r in rest if r["status"] == "error"} == {reason} and not [r for r in rest if r["status"] == "moved"]
+        assert reason == "destination_exists" or not (tmp_path / "dupes/two/b.jpg").exists()
+    else:
+        assert [r["status"] for r in rest] == ["kept", "moved", "moved"]
+
+
+def test_log_goes_bundle_by_bundle(spark, tmp_path):
+    """Dry run and move log orphans, then each bundle's keeper, primary, sidecars and merges, in the order of the plan."""
+    names = {"z.jpg": "first", "z.mov": "live", "a.jpg": "second", "m.bin": "other"}
+    paths = [manifest(spark, tmp_path, n, names) for n in ("one", "two", "Three")]
+    commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
+    commands.execute_plan(spark, str(tmp_path / "p.csv"), str(tmp_path / "dry.csv"))
+    commands.execute_plan(spark, str(tmp_path / "p.csv"), str(tmp_path / "move.csv"), move=True)
+    planned = [r["source_path"] for r in rows_of(tmp_path / "p.csv") if r["disposition"] in ("planned_duplicate_primary", "planned_duplicate_uncategorized")]
+    for log in ("dry.csv", "move.csv"):
+        rows = rows_of(tmp_path / log)
+        assert [r["source_path"] for r in rows if r["event"] in ("execute_plan_move", "execute_plan_uncategorized_move")] == planned
+        events = [r["event"] for r in rows]
+        assert events == [e for p in planned for e in ["execute_plan_keeper", "execute_plan_uncategorized_move" if p.endswith("bin") else "execute_plan_move", *["execute_plan_sidecar_move"] * p.endswith("z.jpg")]]
+
+
+def test_two_primaries_of_one_key_are_two_bundles(spark, tmp_path):
+    paths = [manifest(spark, tmp_path, n, {"a.jpg": "first", "a.mov": "live"}) for n in ("one", "two")]
+    commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
+    rows = rows_of(tmp_path / "p.csv")
+    twice = next(r for r in rows if r["disposition"] == "planned_duplicate_primary")
+    with open(tmp_path / "p2.csv", "w", newline="", encoding="utf-8") as f:
+        writer = csv.DictWriter(f, LOG_FIELDS)
+        writer.writeheader()
+        writer.writerows([*rows, twice])
+    result = commands.execute_plan(spark, str(tmp_path / "p2.csv"), str(tmp_path / "x.csv"))
+    assert result["bundles"] == result["skipped_bundles"] == 2
+    assert [r["event"] for r in rows_of(tmp_path / "x.csv")] == ["execute_plan_keeper", "execute_plan_move", "execute_plan_sidecar_move"] * 2
+    assert {r["reason"] for r in rows_of(tmp_path / "x.csv") if r["status"] == "error"} == {"duplicate_destination_in_plan"}
+
+
+def test_more_than_a_thousand_sidecars(spark):
+    """Places of a primary's sidecars beyond 1,000 are told from those of the next primary."""
+    from dupeplan.operators import planning, verification
+
+    rows = [(1, p, f"/1/{p}", "l", p, "same" if p in (5, 1000) else f"x{p}") for p in range(1, 1201)] + [(2, p, f"/2/{p}", "l", p, f"x{p + 1000}" if p < 3 else f"y{p}") for p in range(1, 1100)]
+    sized = [(o, p, path, path[1:], label, 7, digest) for o, p, path, label, _, digest in rows]
+    sidecars = spark.createDataFrame(sized, "ordinal long, pos long, path string, relative_path string, label string, size_bytes long, digest string")
+    got = sorted((r["group_id"], r["path"]) for r in planning.sidecar_members(sidecars).collect())
+    assert got == [("s000001", "/1/1000"), ("s000001", "/1/5"), ("s000002", "/1/1001"), ("s000002", "/2/1"), ("s000003", "/1/1002"), ("s000003", "/2/2")]
+    none = sidecars.where("false").drop("pos")
+    groups = verification.byte_groups(none, sidecars, none)
+    assert sorted(r["path"] for r in groups.where("first").collect()) == ["/1/1001", "/1/1002", "/1/5"]
+
+
+def test_merges_are_chosen_by_order_however_they_are_dealt(spark, monkeypatch):
+    from dupeplan.operators import planning
+
+    members = spark.createDataFrame([(o, 1, f"l{o % 3}", f"p{o}") for o in range(1, 200)], "ordinal long, g long, label string, relative_path string")
+    grouped = spark.createDataFrame([(1, o, p, f"/{o}/{p}.mov", "video", "k") for o in range(1, 200) for p in range(1, 1 + (o > 1) + 2 * (o == 150))], "g long, ordinal long, pos long, path string, class string, key string")
+    keepers = spark.createDataFrame([(1, 1, "/1")], "g long, keeper_ordinal long, keeper_path string")
+    want = sorted((f"l{o % 3}", f"p{o}", o, p) for o, p in ((r["ordinal"], r["pos"]) for r in grouped.collect()) if o > 1)[:3]
+    for parts in (1, 7, 256):
+        monkeypatch.setattr(planning, "PARTS", parts)
+        got = planning.allocated(members, grouped, keepers).where("merge").collect()
+        assert sorted((f"l{r['ordinal'] % 3}", f"p{r['ordinal']}", r["ordinal"], r["pos"]) for r in got) == want
+
+
+def test_progress_lines(spark, tmp_path, merge_case, capsys):
+    assert cli.main(["plan", *merge_case, "--output", str(tmp_path / "d"), "--log", str(tmp_path / "p.csv")], spark) == 0
+    assert cli.main(["execute-plan", str(tmp_path / "p.csv"), "--log", str(tmp_path / "x.csv"), "--move"], spark) == 0
+    said = capsys.readouterr().err
+    assert "plan: load manifests ..." in said and "execute-plan: move bundles: done in" in said and "2 moved files" in said
+
+
+def test_hash_bench(tmp_path, capsys):
+    from dupeplan import hash_bench
+
+    write(tmp_path, {"a/x.bin": "x" * 5000, "b.bin": "y" * 77})
+    rows = hash_bench.measured(str(tmp_path), rounds=2, chunk=1024)
+    assert {r["variant"]: r["digest_bits"] for r in rows} == {"read_only": 0, "xxh32": 32, "xxh64": 64, "xxh3_64": 64, "xxh3_128": 128, "xxh128": 128}
+    assert all(r["bytes"] == 5077 and r["files"] == 2 and r["min_ms"] <= r["median_ms"] for r in rows)
+    assert hash_bench.main([str(tmp_path), "--rounds", "1"]) == 0 and "xxh3_128" in capsys.readouterr().out
+
+
 def test_failed_move_is_rolled_back(spark, tmp_path, monkeypatch):
     from dupeplan.operators import moving
 
