@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dupeplan.llm.common import LOWERED, answered, bound_batches, chunks, fixed_splits, mixed, read_replies, shard_count, shards_of, stamp, text_bytes, words_of, write_replies
+from dupeplan.llm.common import LOWERED, answered, bound_batches, chunks, fixed_splits, mixed, read_replies, shard_count, shards_of, squeezed, stamp, text_bytes, unsqueezed, words_of, write_replies
 
 #: Counts that the lower order adds to a context of one word, and of two.
 STRENGTH = (20.0, 5.0)
@@ -51,17 +51,6 @@ REQUEST = "kind int, shard int, task int, seq int, stamp long, keys binary, coun
 REPLY = "task int, seq int, shard int, kind int, stamp long, totals binary, n_distinct long, n_tokens long"
 
 
-def squeezed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, all first bytes together, then all second ones: the high bytes are zeros that shuffles compress away."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unsqueezed(raw: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
-
-
 class Grams:
     """The tokens of a chunk and its distinct words, pairs and triples, each in the order of asking."""
 

@@ -645,9 +645,13 @@ def test_repeated_spans(docs, rows, none):
     assert kept.columns[-2:] == ["kept", "lang"] and kept.where("n_removed = 0 AND octet_length(kept) <> n_bytes").isEmpty()
 
 
-def test_repeats_that_cross_blocks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeats_that_cross_blocks(spark, tmp_path, monkeypatch, hot):
+    """Periods, passages with borders of their own, a long text; with a small bound most picks are dealt by their place."""
     import random
 
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SORTED", 30_000)
     rng = random.Random(5)
     base = ["".join(rng.choice("ab cdé") for _ in range(400)) for _ in range(5)]
     rows = [(i, rng.choice(["a" * rng.randint(90, 400), "ab" * rng.randint(30, 300), "".join(b[x : x + 180] + rng.choice(["", "x"]) for b in rng.sample(base, 3) for x in [rng.randint(0, 200)])])) for i in range(40)]
