@@ -52,17 +52,18 @@ def _integer(column: str) -> Column:
     return F.expr(f"try_cast({column} AS bigint)")
 
 
-def _first_error(df: DataFrame, error: Column) -> None:
-    bad = df.select("_manifest", "_line", error.alias("error")).where("error IS NOT NULL").orderBy("_manifest", "_line").first()
-    if bad is not None:
-        raise ValueError(bad["error"])
+def _error_rows(df: DataFrame, phase: int, error: Column) -> DataFrame:
+    return df.select("_manifest", F.lit(phase).alias("_phase"), "_line", error.alias("error")).where("error IS NOT NULL")
 
 
 def load(spark: SparkSession, manifests: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, sidecars, others) of manifests in their order, checked; see ``dupeplan.operators.planning``.
 
-    Errors are those of the first bad row: version, role, status, size, pointers,
-    then groups. Paths that occur twice are collapsed if their rows agree.
+    The error is that of the first manifest with one: that of its first line
+    whose fields are bad (version, role, status, size, pointers, group) or whose
+    group has a primary already, else of its first sidecar without a primary,
+    else of its first sidecar that points at another one. Paths that occur twice
+    are collapsed if their rows agree.
     """
     parts = None
     for number, path in enumerate(manifests):
@@ -81,16 +82,19 @@ def load(spark: SparkSession, manifests: list[str]) -> tuple[DataFrame, DataFram
         .when(~sidecar & (has("primary_relative_path") | has("primary_nas_path")), say("non-sidecar manifest row has primary path fields"))
         .when(F.col("file_role").isin("primary", "sidecar") & ~has("group_id"), say("manifest row missing group_id"))
     )
-    _first_error(rows, error)
     typed = rows.select("ordinal", "_manifest", "_file", "_line", "file_role", "status", "reason", "group_id", F.col("nas_root_label").alias("label"), "nas_root", "batch_root", F.col("nas_path").alias("path"), "relative_path", F.col("primary_nas_path").alias("primary_path"), "primary_relative_path", _integer("size_bytes").alias("size_bytes"), F.col("xxh128").alias("digest"))
     primaries, sidecars = typed.where("file_role = 'primary'"), typed.where("file_role = 'sidecar'")
     key = ["_manifest", "group_id"]
-    again = primaries.groupBy(*key, "_file").agg(F.count("*").alias("n"), F.max("_line").alias("_line")).where("n > 1")
-    _first_error(again, say("multiple primary rows for group_id ", F.col("group_id")))
+    first = primaries.groupBy(*key).agg(F.count("*").alias("n"), F.min("_line").alias("_first")).where("n > 1").drop("n")
+    again = primaries.join(first, key).where("_line > _first")
     owner = primaries.select(*key, F.col("ordinal").alias("o"), F.col("path").alias("p"), F.col("relative_path").alias("r"))
     owned = sidecars.join(owner, key, "left")
-    _first_error(owned, F.when(F.col("o").isNull(), say("sidecar manifest row has no primary for group_id ", F.col("group_id"))))
-    _first_error(owned, F.when((F.col("p") != F.col("primary_path")) | (F.col("r") != F.col("primary_relative_path")), say("sidecar manifest row points at a different primary for group_id ", F.col("group_id"))))
+    lost = F.when(F.col("o").isNull(), say("sidecar manifest row has no primary for group_id ", F.col("group_id")))
+    astray = F.when((F.col("p") != F.col("primary_path")) | (F.col("r") != F.col("primary_relative_path")), say("sidecar manifest row points at a different primary for group_id ", F.col("group_id")))
+    errors = _error_rows(rows, 0, error).unionByName(_error_rows(again, 1, say("multiple primary rows for group_id ", F.col("group_id"))))
+    errors = errors.withColumn("_late", F.lit(0)).unionByName(_error_rows(owned, 2, lost).unionByName(_error_rows(owned, 3, astray)).withColumn("_late", F.col("_phase")))
+    if bad := errors.orderBy("_manifest", "_late", "_line", "_phase").first():
+        raise ValueError(bad["error"])
     attached = owned.select(F.col("o").alias("ordinal"), "label", "nas_root", "path", "relative_path", "primary_path", "size_bytes", "digest")
     own = F.expr("transform(array_sort(collect_list(struct(relative_path, path, size_bytes, digest))), x -> x)")
     held = attached.groupBy("ordinal").agg(own.alias("_own"))

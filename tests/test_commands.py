@@ -292,6 +292,27 @@ def test_malformed_manifests(spark, tmp_path, change, message):
     assert not (tmp_path / "p.csv").exists()
 
 
+def test_first_error_of_several(spark, tmp_path):
+    """The first manifest's errors come first: lines in their order, then owners; one with bad lines only later does not."""
+    from dupeplan.sources import manifests
+
+    good = manifest(spark, tmp_path, "one", {"photo.jpg": "same", "photo.mov": "v", "x.jpg": "x", "y.jpg": "y"})
+    cases = [
+        (lambda r: (r[3].update(size_bytes="?"), r[1].update(group_id="f000009"), r.append(dict(r[0]))), "invalid manifest size_bytes"),
+        (lambda r: (r.insert(2, dict(r[0])), r[4].update(status="?")), "multiple primary rows"),
+        (lambda r: (r[1].update(primary_nas_path="/elsewhere"), r.append(dict(r[1], group_id="f000009"))), "no primary"),
+    ]
+    for i, (change, message) in enumerate(cases):
+        path = tmp_path / f"bad{i}.csv"
+        path.write_text(open(good, encoding="utf-8").read())
+        _edit(path, change)
+        later = tmp_path / f"later{i}.csv"
+        later.write_text(open(good, encoding="utf-8").read())
+        _edit(later, lambda r: r[0].update(manifest_version="999"))
+        with pytest.raises(ValueError, match=message):
+            manifests.load(spark, [good, str(path), str(later)])
+
+
 def test_empty_manifest_and_repeated_manifest(spark, tmp_path):
     path = manifest(spark, tmp_path, "one", {"photo.jpg": "same"})
     twice = commands.plan_from_manifests(spark, [path, path], str(tmp_path / "d"), str(tmp_path / "p.csv"))
