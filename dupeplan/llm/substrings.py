@@ -10,10 +10,11 @@ they stand. Maximal runs of neighbouring windows with one pick are about a third
 of a window long.
 
 1. Picks are counted: a window whose pick stands in one run alone occurs once.
-2. The bytes of all other runs go to the shard of their pick. A shard sorts the
-   suffixes of its runs by external induced sorting (``suffixes``); windows that
-   follow each other there with a common prefix of ``length`` bytes are equal,
-   and all but the earliest are copies.
+2. The bytes of all other runs go to the shard of their pick. Of runs that are
+   equal as wholes the earliest stands for all. A shard sorts the suffixes of
+   its runs by external induced sorting (``suffixes``); windows that follow each
+   other there with a common prefix of ``length`` bytes are equal, and all but
+   the earliest are copies.
 3. Chunks of documents take out what the shards report.
 
 Hashes choose candidates and shards only; what goes has been compared byte by
@@ -149,6 +150,16 @@ def ranges(length: int) -> list[tuple[int, int]]:
     return list(zip(found, found[1:]))
 
 
+def firsts_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings are the first of their bytes, and which are copies of one before; a hash finds them, the bytes decide."""
+    digest, seen, first, copy = xxhash.xxh3_128_digest, {}, [], []
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        own = raw[a:b]
+        held = seen.setdefault(digest(own), (i, own))
+        (copy if held[0] != i and held[1] == own else first).append(i)
+    return np.array(first, np.int64), np.array(copy, np.int64)
+
+
 class Chunk:
     """A chunk's scan, the order of its rows, and what it asks."""
 
@@ -164,16 +175,7 @@ class Chunk:
         order = np.argsort((rank[s.doc] << np.int64(40)) + s.first - self.offsets[s.doc], kind="stable")
         for name in ("first", "last", "pick", "place", "repeats", "doc"):
             setattr(s, name, getattr(s, name)[order])
-        self.distinct, self.copy = self._firsts(s.first, s.last + length)
-
-    def _firsts(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the strings, in the order of rows, are the first of their bytes, and which are copies of one before; a hash finds them, the bytes decide."""
-        raw, digest, seen, first, copy = self.raw, xxhash.xxh3_128_digest, {}, [], []
-        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-            own = raw[a:b]
-            held = seen.setdefault(digest(own), (i, own))
-            (copy if held[0] != i and held[1] == own else first).append(i)
-        return np.array(first, np.int64), np.array(copy, np.int64)
+        self.distinct, self.copy = firsts_of(self.raw, s.first, s.last + length)
 
     def picks(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ascending picks, in how many distinct runs each stands (two if it repeats in one), the shard of each, and the pick's number of every distinct run."""
@@ -192,7 +194,7 @@ class Chunk:
         hot = self.distinct[of == MANY]
         if len(hot):
             a, b, key, row = self._dealt(hot)
-            new, again = self._firsts(a, b + self.length)
+            new, again = firsts_of(self.raw, a, b + self.length)
             copies.append((a[again], b[again]))
             first, last, deal, doc = [*first, a[new]], [*last, b[new]], [*deal, key[new]], [*doc, row[new]]
         first, last, deal, doc = (np.concatenate(x) for x in (first, last, deal, doc))
@@ -289,16 +291,21 @@ def _sorted(table: pa.Table, length: int, folder: str) -> pa.Table:
     row = np.repeat(np.arange(table.num_rows), [len(x) // 4 for x in columns["sizes"]])
     spans = [[np.frombuffer(x, np.int32)] for x in columns["copies"]]
     if len(sizes):
+        raw = b"".join(columns["bytes"])
         by = np.argsort(ids, kind="stable")  # of equal ids, in the order of reading
-        data = np.frombuffer(b"".join(columns["bytes"]), np.uint8)
         taken = (np.cumsum(sizes) - sizes)[by]
         sizes, starts, row = sizes[by], starts[by], row[by]
+        first, copy = firsts_of(raw, taken, taken + sizes)
+        for i in copy.tolist():
+            spans[int(row[i])].append(np.array([starts[i], starts[i] + sizes[i] - length], np.int32))
+        taken, sizes, starts, row = taken[first], sizes[first], starts[first], row[first]
+        data = np.frombuffer(raw, np.uint8)
         at = np.cumsum(sizes + 1) - sizes - 1  # a separator follows each string
-        inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         text = np.ones(int(at[-1] + sizes[-1]) + 2, np.uint16)
         text[np.repeat(at, sizes) + inside] = data[np.repeat(taken, sizes) + inside].astype(np.uint16) + 2
         text[-1] = 0
-        del data, inside
+        del raw, data, inside
         disk = Disk(folder)
         again = copied_windows(text, length, disk)
         disk.clear()
