@@ -61,7 +61,7 @@ BASE = 0x9E3779B97F4A7C15
 ONCE, SEVERAL, MANY = 0, 1, 2
 PICKS = "shard int, task int, seq int, stamp long, keys binary, counts binary"
 PICK_REPLY = "task int, seq int, shard int, stamp long, kinds binary"
-RUNS = "shard int, task int, seq int, stamp long, bytes binary, sizes binary, starts binary, ids binary, copies binary"
+RUNS = "shard int, task int, seq int, stamp long, bytes binary, sizes binary, starts binary, ids binary, deals binary, copies binary"
 RUN_REPLY = "task int, seq int, shard int, stamp long, spans binary"
 
 
@@ -185,21 +185,21 @@ class Chunk:
         counts[group[s.repeats[self.distinct]]] += 1
         return keys, counts, shards_of(keys, shards), group
 
-    def candidates(self, kinds: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """(first and last window start, hash that deals them, row) of the strings to sort, in the order of rows, and the copies (first and last window start) found here."""
+    def candidates(self, kinds: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(first and last window start, hash that deals them, row, whether the pick repeats inside) of the strings to sort, in the order of rows, and the copies (first and last window start) found here."""
         s, of = self.scan, kinds[group]
         plain = self.distinct[of == SEVERAL]
-        first, last, deal = [s.first[plain]], [s.last[plain]], [s.pick[plain]]
+        first, last, deal, inner = [s.first[plain]], [s.last[plain]], [s.pick[plain]], [s.repeats[plain]]
         doc, copies = [s.doc[plain]], [(s.first[self.copy], s.last[self.copy])]
         hot = self.distinct[of == MANY]
         if len(hot):
             a, b, key, row = self._dealt(hot)
             new, again = firsts_of(self.raw, a, b + self.length)
             copies.append((a[again], b[again]))
-            first, last, deal, doc = [*first, a[new]], [*last, b[new]], [*deal, key[new]], [*doc, row[new]]
-        first, last, deal, doc = (np.concatenate(x) for x in (first, last, deal, doc))
+            first, last, deal, doc, inner = [*first, a[new]], [*last, b[new]], [*deal, key[new]], [*doc, row[new]], [*inner, np.ones(len(new), bool)]
+        first, last, deal, doc, inner = (np.concatenate(x) for x in (first, last, deal, doc, inner))
         by = np.lexsort((first, doc, self.ids[doc]))
-        return first[by], last[by], deal[by], doc[by], tuple(np.concatenate(x) for x in zip(*copies))
+        return first[by], last[by], deal[by], doc[by], inner[by], tuple(np.concatenate(x) for x in zip(*copies))
 
     def _dealt(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Parts of runs whose windows have their pick in one range of places: first and last start, a hash of the bytes that all windows of the range share, row."""
@@ -284,10 +284,12 @@ def copied_windows(text: np.ndarray, length: int, disk: Disk) -> np.ndarray:
 def _sorted(table: pa.Table, length: int, folder: str) -> pa.Table:
     """One shard: for every chunk, the windows of its runs that stand earlier too, as pairs of first and last start, after the copies that it found itself."""
     table = table.sort_by([("task", "ascending"), ("seq", "ascending")])
-    columns = {c: table.column(c).to_pylist() for c in ("bytes", "sizes", "starts", "ids", "copies")}
+    columns = {c: table.column(c).to_pylist() for c in ("bytes", "sizes", "starts", "ids", "deals", "copies")}
     sizes = np.concatenate([np.frombuffer(x, np.int32) for x in columns["sizes"]]).astype(np.int64)
     starts = np.concatenate([np.frombuffer(x, np.int32) for x in columns["starts"]]).astype(np.int64)
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in columns["ids"]])
+    deals = np.concatenate([np.frombuffer(x, np.uint64) for x in columns["deals"]])
+    inner, sizes = sizes < 0, abs(sizes)
     row = np.repeat(np.arange(table.num_rows), [len(x) // 4 for x in columns["sizes"]])
     spans = [[np.frombuffer(x, np.int32)] for x in columns["copies"]]
     if len(sizes):
@@ -298,12 +300,17 @@ def _sorted(table: pa.Table, length: int, folder: str) -> pa.Table:
         first, copy = firsts_of(raw, taken, taken + sizes)
         for i in copy.tolist():
             spans[int(row[i])].append(np.array([starts[i], starts[i] + sizes[i] - length], np.int32))
+        # A run whose pick stands in no other one, and but once in it, has no equal windows.
+        _, same, runs = np.unique(deals[by][first], return_inverse=True, return_counts=True)
+        first = first[(runs[same] > 1) | inner[by][first]]
         taken, sizes, starts, row = taken[first], sizes[first], starts[first], row[first]
+    if len(sizes):
         data = np.frombuffer(raw, np.uint8)
+        kind = np.uint8 if data.max() < 254 else np.uint16  # bytes of UTF-8 leave room for a separator and an end
         at = np.cumsum(sizes + 1) - sizes - 1  # a separator follows each string
         inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text = np.ones(int(at[-1] + sizes[-1]) + 2, np.uint16)
-        text[np.repeat(at, sizes) + inside] = data[np.repeat(taken, sizes) + inside].astype(np.uint16) + 2
+        text = np.ones(int(at[-1] + sizes[-1]) + 2, kind)
+        text[np.repeat(at, sizes) + inside] = data[np.repeat(taken, sizes) + inside].astype(kind) + kind(2)
         text[-1] = 0
         del raw, data, inside
         disk = Disk(folder)
@@ -364,14 +371,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             kinds = np.frombuffer(b"".join(r["kinds"] for r in replies.of(seq, mark)), np.uint8)
             if len(kinds) != len(keys):
                 raise RuntimeError("a chunk of documents has changed between two passes; read the documents from a stored table")
-            first, last, deal, doc, (a, b) = chunk.candidates(kinds, group)
+            first, last, deal, doc, inner, (a, b) = chunk.candidates(kinds, group)
             shard = shards_of(mixed(deal), sorters)
             by = np.argsort(shard, kind="stable")
-            first, last, doc, shard = first[by], last[by], doc[by], shard[by]
+            first, last, deal, doc, inner, shard = first[by], last[by], deal[by], doc[by], inner[by], shard[by]
             raw, ids, sizes = chunk.raw, chunk.ids[doc], last - first + length
+            signed = np.where(inner, -sizes, sizes).astype(np.int32)  # negative where windows of one run may be equal
             cuts = list(zip(_edges(shard), _edges(shard)[1:]))
-            rows = [{"shard": int(shard[x]), "task": task, "seq": seq, "stamp": mark, "bytes": b"".join([raw[p:q] for p, q in zip(first[x:y].tolist(), (first + sizes)[x:y].tolist())]), "sizes": sizes[x:y].astype(np.int32).tobytes(), "starts": first[x:y].astype(np.int32).tobytes(), "ids": ids[x:y].tobytes(), "copies": b""} for x, y in cuts]
-            rows = rows or [{"shard": seq % sorters, "task": task, "seq": seq, "stamp": mark, "bytes": b"", "sizes": b"", "starts": b"", "ids": b"", "copies": b""}]
+            rows = [{"shard": int(shard[x]), "task": task, "seq": seq, "stamp": mark, "bytes": b"".join([raw[p:q] for p, q in zip(first[x:y].tolist(), (first + sizes)[x:y].tolist())]), "sizes": signed[x:y].tobytes(), "starts": first[x:y].astype(np.int32).tobytes(), "ids": ids[x:y].tobytes(), "deals": deal[x:y].tobytes(), "copies": b""} for x, y in cuts]
+            rows = rows or [{"shard": seq % sorters, "task": task, "seq": seq, "stamp": mark, "bytes": b"", "sizes": b"", "starts": b"", "ids": b"", "deals": b"", "copies": b""}]
             rows[0]["copies"] = np.stack([a, b], axis=1).astype(np.int32).tobytes()
             yield from pa.Table.from_pylist(rows, run_schema).to_batches()
 
@@ -409,7 +417,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     pick_schema = pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    run_schema = pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), *[(c, pa.binary()) for c in ("bytes", "sizes", "starts", "ids", "copies")]])
+    run_schema = pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), *[(c, pa.binary()) for c in ("bytes", "sizes", "starts", "ids", "deals", "copies")]])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     counted = write_replies(answered(plain.mapInArrow(asks, PICKS), F.col("shard"), shards, _counted, PICK_REPLY), "picks", shards)
     found = write_replies(answered(plain.mapInArrow(sends, RUNS), F.col("shard"), sorters, lambda table: _sorted(table, length, folder), RUN_REPLY), "spans", shards)

@@ -152,7 +152,7 @@ def named(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, int]:
     lengths = np.append(np.diff(stars) + 1, 1)
     bits = int(text.max()).bit_length() + 1
     each, end = 63 // bits, (1 << bits) - 1
-    padded = np.append(text, np.zeros(each, text.dtype))
+    padded = np.append(text, np.zeros(each, text.dtype)).astype(np.int32)
 
     def packed(which: np.ndarray, start: int) -> np.ndarray:
         at, left = stars[which].astype(np.int64) + start, lengths[which] - start
@@ -299,23 +299,28 @@ def induced(symbols: np.ndarray, kind: np.ndarray, start: np.ndarray) -> np.ndar
     return np.concatenate(out)
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Common prefixes of suffixes of a string of 16-bit symbols, up to ``width`` symbols; four symbols are compared at once."""
-    padded = np.concatenate([text, np.zeros(4, np.uint16)])
-    padded[len(text) :] = 1 << 15  # no symbol; what is found beyond the end is cut off below
-    words = np.ndarray(len(text), "<u8", padded, strides=(2,))
-    out = np.full(len(a), width, np.int64)
-    live, a, b, n = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64), len(text)
-    for k in range(0, width, 4):
-        x, y = a[live] + k, b[live] + k
-        differs = words[np.minimum(x, n - 1)] ^ words[np.minimum(y, n - 1)]
-        found = (differs != 0) | (np.maximum(x, y) >= n)
-        low = differs[found]
-        out[live[found]] = k + np.bitwise_count((low & -low) - np.uint64(1)) // 16 % 4
-        live = live[~found]
-        if not len(live):
-            break
-    return np.minimum(np.minimum(out, width), n - np.maximum(a, b)).astype(np.uint8)
+class Words:
+    """Common prefixes of the suffixes of a string of 8- or 16-bit symbols, up to ``width`` symbols; eight bytes are compared at once."""
+
+    def __init__(self, text: np.ndarray, width: int):
+        self.n, self.width, self.size = len(text), width, text.dtype.itemsize
+        self.words = np.ndarray(self.n, "<u8", np.concatenate([text, np.zeros(8, text.dtype)]), strides=(self.size,))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.full(len(a), self.width, np.int64)
+        each, end = 8 // self.size, self.n - 1
+        live, a, b = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
+        x, y = a, b
+        for k in range(0, self.width, each):
+            differs = self.words[np.minimum(x, end)] ^ self.words[np.minimum(y, end)]
+            found = (differs != 0) | (np.maximum(x, y) > end)
+            low = differs[found]
+            out[live[found]] = k + np.bitwise_count((low & -low) - np.uint64(1)) // (8 * self.size) % each
+            left = ~found
+            live, x, y = live[left], x[left] + each, y[left] + each
+            if not len(live):
+                break
+        return np.minimum(np.minimum(out, self.width), self.n - np.maximum(a, b)).astype(np.uint8)  # nothing is shared beyond the end
 
 
 _LOG = np.zeros(BLOCK + 2, np.uint8)
@@ -326,8 +331,8 @@ for _i in range(1, 18):
 class Pass:
     """One pass of induction on the top level, with common prefixes."""
 
-    def __init__(self, text: np.ndarray, symbols: np.ndarray, kind: np.ndarray, width: int, disk: Disk):
-        self.text, self.symbols, self.kind, self.width, self.disk = text, symbols, kind, width, disk
+    def __init__(self, words: Words, symbols: np.ndarray, kind: np.ndarray, disk: Disk):
+        self.words, self.symbols, self.kind, self.width, self.disk = words, symbols, kind, words.width, disk
         self.queues = [Queue(disk) for _ in range(int(symbols.max()) + 1)]
         self.bucket = np.full(len(self.queues), -1)
         self.since = np.zeros(len(self.queues), np.uint8)
@@ -381,20 +386,20 @@ class Pass:
         self.disk.room()
 
     def seam(self, a: int, b: int) -> int:
-        return int(common(self.text, np.array([a]), np.array([b]), self.width)[0])
+        return int(self.words.common(np.array([a]), np.array([b]))[0])
 
 
 def descending(text: np.ndarray, width: int, disk: Disk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of all suffixes but the last symbol's, from the largest to the smallest, each with its common prefix (up to ``width``) with the one before it.
 
-    ``text`` has symbols below 2**15 that end in a 0, the only one.
+    ``text`` has 8- or 16-bit symbols and ends in a 0, the only one.
     """
-    symbols = text.astype(np.uint16)
+    symbols, words = text, Words(text, width)
     small = types(symbols)
     stars = star_order(symbols, stars_of(small))
-    shared = np.concatenate([np.zeros(1, np.uint8), common(symbols, stars[:-1], stars[1:], width)])
+    shared = np.concatenate([np.zeros(1, np.uint8), words.common(stars[:-1], stars[1:])])
     begins = np.searchsorted(symbols[stars], np.arange(int(symbols.max()) + 2))
-    rising = Pass(symbols, symbols, ~small, width, disk)
+    rising = Pass(words, symbols, ~small, disk)
     kept = [Queue(disk) for _ in rising.queues]
     ends = {}
     for c, queue in enumerate(rising.queues):
@@ -413,7 +418,7 @@ def descending(text: np.ndarray, width: int, disk: Disk) -> Iterator[tuple[np.nd
     top = len(rising.queues) - 1
     own = small.copy()
     own[-1] = False
-    falling = Pass(symbols, (top - symbols).astype(np.uint16), own, width, disk)
+    falling = Pass(words, (top - symbols).astype(symbols.dtype), own, disk)
     for c, queue in enumerate(falling.queues):
         last = -1
         for positions, prefixes in queue.blocks():

@@ -23,7 +23,7 @@ def strings(seed, n):
             lambda: [5] * size,
             lambda: [x for _ in range(6) for x in [*block[rng.randint(0, 20) : rng.randint(20, 40)], 1]],
         ][i % 6]()
-        yield np.array([*made, 0], np.uint16)
+        yield np.array([*made, 0], np.uint16 if max(made, default=0) > 255 or i % 2 else np.uint8)
 
 
 def brute(text, width):
