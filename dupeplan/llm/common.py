@@ -151,6 +151,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
                 give_back()
     if held:
         yield number, pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def give_back() -> None:

@@ -32,6 +32,8 @@ from dupeplan.llm.common import LETTERS, bound_batches, chunks, materialize, wor
 
 #: Words of test items that one pass over the index takes.
 BLOCK_WORDS = 1_000_000
+#: Text bytes of a chunk of documents, one row of the index.
+CHUNK = 4 << 20
 #: Empty positions between documents.
 GAP = 64
 INDEX = "task int, seq int, keys {kind}, at binary, terms binary, lengths binary, starts binary, positions binary"
@@ -45,7 +47,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for seq, table in chunks(batches, text):
+        for seq, table in chunks(batches, text, CHUNK):
             words, ids, at = words_of(table.column(1), LETTERS)
             places = np.arange(len(ids)) + GAP * np.repeat(np.arange(len(at) - 1), np.diff(at))
             by = np.argsort(ids, kind="stable")

@@ -153,10 +153,11 @@ def ranges(length: int) -> list[tuple[int, int]]:
 def firsts_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which strings are the first of their bytes, and which are copies of one before; a hash finds them, the bytes decide."""
     digest, seen, first, copy = xxhash.xxh3_128_digest, {}, [], []
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+    starts, ends = starts.tolist(), ends.tolist()
+    for i, (a, b) in enumerate(zip(starts, ends)):
         own = raw[a:b]
-        held = seen.setdefault(digest(own), (i, own))
-        (copy if held[0] != i and held[1] == own else first).append(i)
+        held = seen.setdefault(digest(own), i)
+        (copy if held != i and raw[starts[held] : ends[held]] == own else first).append(i)
     return np.array(first, np.int64), np.array(copy, np.int64)
 
 
