@@ -29,6 +29,36 @@ def manifest(spark, tmp_path, name, files):
     return commands.generate_manifest(spark, str(root), str(root), str(tmp_path / f"{name}.csv"))
 
 
+def quick_manifest(tmp_path, name, files):
+    """The same rows without a scan: images are primaries, others with an image's stem its sidecars."""
+    root = tmp_path / name
+    write(root, files)
+    images = sorted(f for f in files if f.endswith(".jpg"))
+    owner = lambda f: f if f in images else next((i for i in images if i.rsplit(".", 1)[0] == f.split(".")[0]), None)
+    order = sorted(files, key=lambda f: ((owner(f) or f).lower(), f not in images, f.lower()))
+    with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+        writer = csv.DictWriter(out, MANIFEST_FIELDS, restval="")
+        writer.writeheader()
+        for f in order:
+            role = "primary" if f in images else "sidecar" if owner(f) else "uncategorized"
+            row = {"relative_path": f, "file_role": role, "status": "skipped" if role == "uncategorized" else "included", "reason": "unrecognized_non_primary" if role == "uncategorized" else "", "size_bytes": len(files[f].encode())}
+            row |= {"xxh128": xxhash.xxh3_128_hexdigest(files[f].encode()), "nas_path": f"{root}/{f}", "manifest_version": "2", "created_at": "2020-01-01T00:00:00", "nas_root_label": name, "batch_root": str(root), "nas_root": str(root)}
+            if role != "uncategorized":
+                row["group_id"] = f"f{images.index(owner(f)) + 1:06d}"
+            if role == "sidecar":
+                row |= {"primary_relative_path": owner(f), "primary_nas_path": f"{root}/{owner(f)}"}
+            writer.writerow(row)
+    return str(tmp_path / f"{name}.csv")
+
+
+def test_quick_manifest_is_the_scans(spark, tmp_path):
+    files = {"a.jpg": "first", "a.mov": "live", "b.jpg": "second", "m.bin": "other"}
+    made = quick_manifest(tmp_path, "one", files)
+    scanned = commands.generate_manifest(spark, str(tmp_path / "one"), str(tmp_path / "one"), str(tmp_path / "scan.csv"))
+    plain = lambda path: [{k: v for k, v in r.items() if k != "created_at"} for r in rows_of(path)]
+    assert plain(made) == plain(scanned)
+
+
 @pytest.fixture
 def merge_case(spark, tmp_path):
     """Equal primaries with different kinds of sidecars."""
@@ -97,7 +127,7 @@ def test_plan_merge_move_verify(spark, tmp_path, merge_case):
 
 
 def test_conflict_is_kept_and_json_keys_compared(spark, tmp_path):
-    paths = [manifest(spark, tmp_path, n, {"photo.jpg": "live", "photo.json": f'{{"a": 1, "b": {v}}}'}) for n, v in (("one", 1), ("two", 1.0))]
+    paths = [quick_manifest(tmp_path, n, {"photo.jpg": "live", "photo.json": f'{{"a": 1, "b": {v}}}'}) for n, v in (("one", 1), ("two", 1.0))]
     result = commands.plan_from_manifests(spark, paths, str(tmp_path / "d"), str(tmp_path / "p.csv"))
     assert (result["skipped_groups"], result["duplicate_files"]) == (1, 0)
     assert [r["disposition"] for r in rows_of(tmp_path / "p.csv")] == ["kept_sidecar_conflict", "kept_sidecar_conflict_sidecar"] * 2
@@ -121,7 +151,7 @@ def test_conflict_is_kept_and_json_keys_compared(spark, tmp_path):
     ],
 )
 def test_refused_moves(spark, tmp_path, change, reason):
-    paths = [manifest(spark, tmp_path, n, {"photo.jpg": "same"}) for n in ("one", "two")]
+    paths = [quick_manifest(tmp_path, n, {"photo.jpg": "same"}) for n in ("one", "two")]
     commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
     change(tmp_path)
     result = commands.execute_plan(spark, str(tmp_path / "p.csv"), str(tmp_path / "x.csv"), move=True)
@@ -147,7 +177,7 @@ def test_changes_after_validation(spark, tmp_path, change, reason, verify):
     from dupeplan.operators import moving
     from dupeplan.sources import manifests
 
-    paths = [manifest(spark, tmp_path, n, {"a.jpg": "first", "b.jpg": "second", "b.mov": "live"}) for n in ("one", "two")]
+    paths = [quick_manifest(tmp_path, n, {"a.jpg": "first", "b.jpg": "second", "b.mov": "live"}) for n in ("one", "two")]
     commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
     plan = manifests.read_csv(spark, str(tmp_path / "p.csv"), ["disposition"], "plan")
     rows = moving.move_bundles(spark, plan, verify)
@@ -165,7 +195,7 @@ def test_changes_after_validation(spark, tmp_path, change, reason, verify):
 def test_log_goes_bundle_by_bundle(spark, tmp_path):
     """Dry run and move log orphans, then each bundle's keeper, primary, sidecars and merges, in the order of the plan."""
     names = {"z.jpg": "first", "z.mov": "live", "a.jpg": "second", "m.bin": "other"}
-    paths = [manifest(spark, tmp_path, n, names) for n in ("one", "two", "Three")]
+    paths = [quick_manifest(tmp_path, n, names) for n in ("one", "two", "Three")]
     commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
     commands.execute_plan(spark, str(tmp_path / "p.csv"), str(tmp_path / "dry.csv"))
     commands.execute_plan(spark, str(tmp_path / "p.csv"), str(tmp_path / "move.csv"), move=True)
@@ -178,7 +208,7 @@ def test_log_goes_bundle_by_bundle(spark, tmp_path):
 
 
 def test_two_primaries_of_one_key_are_two_bundles(spark, tmp_path):
-    paths = [manifest(spark, tmp_path, n, {"a.jpg": "first", "a.mov": "live"}) for n in ("one", "two")]
+    paths = [quick_manifest(tmp_path, n, {"a.jpg": "first", "a.mov": "live"}) for n in ("one", "two")]
     commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
     rows = rows_of(tmp_path / "p.csv")
     twice = next(r for r in rows if r["disposition"] == "planned_duplicate_primary")
@@ -239,7 +269,7 @@ def test_hash_bench(tmp_path, capsys):
 def test_failed_move_is_rolled_back(spark, tmp_path, monkeypatch):
     from dupeplan.operators import moving
 
-    paths = [manifest(spark, tmp_path, n, {"photo.jpg": "same", "photo.mov": "live"}) for n in ("one", "two")]
+    paths = [quick_manifest(tmp_path, n, {"photo.jpg": "same", "photo.mov": "live"}) for n in ("one", "two")]
     commands.plan_from_manifests(spark, paths, str(tmp_path / "dupes"), str(tmp_path / "p.csv"))
     real = moving.shutil.move
 
@@ -255,7 +285,7 @@ def test_failed_move_is_rolled_back(spark, tmp_path, monkeypatch):
 
 
 def test_verify_bytes_finds_tampering(spark, tmp_path):
-    paths = [manifest(spark, tmp_path, n, {"photo.jpg": "same", "x.bin": "b"}) for n in ("one", "two")]
+    paths = [quick_manifest(tmp_path, n, {"photo.jpg": "same", "x.bin": "b"}) for n in ("one", "two")]
     good = commands.verify_bytes(spark, paths, str(tmp_path / "a.csv"))
     assert (good["checked_groups"], good["failed_groups"]) == (2, 0)
     write(tmp_path, {"two/photo.jpg": "emas"})
@@ -285,7 +315,7 @@ def _edit(path, change):
     ],
 )
 def test_malformed_manifests(spark, tmp_path, change, message):
-    path = manifest(spark, tmp_path, "one", {"photo.jpg": "same", "photo.mov": "v"})
+    path = quick_manifest(tmp_path, "one", {"photo.jpg": "same", "photo.mov": "v"})
     _edit(path, change)
     with pytest.raises(ValueError, match=message):
         commands.plan_from_manifests(spark, [path], str(tmp_path / "d"), str(tmp_path / "p.csv"))
@@ -296,7 +326,7 @@ def test_first_error_of_several(spark, tmp_path):
     """The first manifest's errors come first: lines in their order, then owners; one with bad lines only later does not."""
     from dupeplan.sources import manifests
 
-    good = manifest(spark, tmp_path, "one", {"photo.jpg": "same", "photo.mov": "v", "x.jpg": "x", "y.jpg": "y"})
+    good = quick_manifest(tmp_path, "one", {"photo.jpg": "same", "photo.mov": "v", "x.jpg": "x", "y.jpg": "y"})
     cases = [
         (lambda r: (r[3].update(size_bytes="?"), r[1].update(group_id="f000009"), r.append(dict(r[0]))), "invalid manifest size_bytes"),
         (lambda r: (r.insert(2, dict(r[0])), r[4].update(status="?")), "multiple primary rows"),
@@ -314,7 +344,7 @@ def test_first_error_of_several(spark, tmp_path):
 
 
 def test_empty_manifest_and_repeated_manifest(spark, tmp_path):
-    path = manifest(spark, tmp_path, "one", {"photo.jpg": "same"})
+    path = quick_manifest(tmp_path, "one", {"photo.jpg": "same"})
     twice = commands.plan_from_manifests(spark, [path, path], str(tmp_path / "d"), str(tmp_path / "p.csv"))
     assert twice["duplicate_groups"] == 0 and len(rows_of(tmp_path / "p.csv")) == 1
     _edit(path, lambda r: r.clear())
