@@ -191,46 +191,45 @@ def answered(requests: DataFrame, group: Column, groups: int, answer: Callable[[
     return requests.repartitionById(groups, group.cast("int")).mapInArrow(run, reply)
 
 
-def write_replies(replies: DataFrame, tag: str, parts: int) -> str:
-    """Stores look-up results by the task that asked, for ``read_replies``; ``parts`` follows the input."""
+def write_replies(replies: DataFrame, tag: str, size: int) -> str:
+    """Stores look-up results for ``read_replies``, about one file for each ``SHARD_BYTES`` of ``size``; those to a task lie in one file, sorted."""
     spark = replies.sparkSession
-    path = scratch_path(spark, tag)
-    dealt = replies.repartitionById(parts, F.pmod("task", F.lit(parts))).sortWithinPartitions("task", "seq", "shard")
+    parts = max(1, -(-size // SHARD_BYTES))
+    path = scratch_path(spark, f"{tag}-{parts}")
+    dealt = replies.repartitionById(parts, F.pmod("task", F.lit(parts)).cast("int")).sortWithinPartitions("task", "seq", "shard")
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # what was shuffled goes once the table is whole
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        dealt.write.option("parquet.block.size", BLOCK_BYTES).partitionBy("task").parquet(path)
+        dealt.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return path
 
 
 def read_replies(path: str, task: int, columns: list[str]) -> Replies:
-    """The replies to a task, for chunks in ascending order."""
+    """The replies to a task, for chunks in ascending order; only a row group is held."""
     from pyarrow import fs
 
-    system, place = file_system(f"{path}/task={task}")
-    if system.get_file_info(place).type == fs.FileType.NotFound:
-        return Replies(iter(()))
-    found = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet")]
-    return Replies(_stream(system, found, columns))
-
+    system, place = file_system(path)
+    own = f"part-{task % int(path.rsplit('/', 1)[1].split('-')[1]):05d}-"  # the number of the partition that wrote it
+    found = [f.path for f in system.get_file_info(fs.FileSelector(place)) if f.base_name.startswith(own)]
+    return Replies(row for p in sorted(found) for row in _replies_in(system, p, task, columns))
 
-def _stream(system, files: list[str], columns: list[str]) -> Iterator[dict]:
-    """Rows of sorted files in the order of chunks and shards; only a row group of each is held."""
-    import heapq
 
+def _replies_in(system, path: str, task: int, columns: list[str]) -> Iterator[dict]:
+    """A task's rows of a file that is sorted by tasks, chunks and shards."""
     import pyarrow.parquet as pq
 
-    def rows(path: str) -> Iterator[dict]:
-        with system.open_input_file(path) as raw:
-            for batch in pq.ParquetFile(raw).iter_batches(64, columns=["seq", "shard", *columns]):
-                yield from batch.to_pylist()
-
-    if len(files) == 1:
-        return rows(files[0])
-    return heapq.merge(*map(rows, files), key=lambda r: (r["seq"], r["shard"]))
+    with system.open_input_file(path) as raw:
+        file = pq.ParquetFile(raw)
+        at = file.schema_arrow.get_field_index("task")
+        for group in range(file.num_row_groups):
+            held = file.metadata.row_group(group).column(at).statistics
+            if held is not None and held.has_min_max and not held.min <= task <= held.max:
+                continue
+            for batch in file.iter_batches(64, row_groups=[group], columns=["task", "seq", "shard", *columns]):
+                yield from batch.filter(pa.compute.equal(batch.column("task"), task)).to_pylist()
 
 
 class Replies:

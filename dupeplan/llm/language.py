@@ -180,7 +180,8 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     bound_batches(spark)
     fixed_splits(spark)
     plain = docs.select(key, text, F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    shards = shard_count(spark, text_bytes(docs, text) * 2)
+    total = text_bytes(docs, text)
+    shards = shard_count(spark, 2 * total)
     request_schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     columns = ["kind", "stamp", "totals"]
 
@@ -199,11 +200,11 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             yield from pa.Table.from_pylist(grams.requests((TRIPLES,), task, seq, mark), request_schema).to_batches()
 
     asked = plain.mapInArrow(asks, REQUEST)
-    coarse = write_replies(answered(asked, F.col("kind") * shards + F.col("shard"), 2 * shards, _add, REPLY), "counts", shards)
+    coarse = write_replies(answered(asked, F.col("kind") * shards + F.col("shard"), 2 * shards, _add, REPLY), "counts", 2 * total)
     stored = spark.read.schema(REPLY).parquet(coarse)
     distinct, tokens = (x or 0 for x in stored.where(F.col("kind") == WORDS).agg(F.sum("n_distinct"), F.sum("n_tokens")).first())
     whole = tokens + added * (distinct + 1)
-    fine = write_replies(answered(plain.mapInArrow(asks_triples, REQUEST), F.col("shard"), shards, _add, REPLY), "triples", shards)
+    fine = write_replies(answered(plain.mapInArrow(asks_triples, REQUEST), F.col("shard"), shards, _add, REPLY), "triples", 2 * total)
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()

@@ -221,7 +221,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     bound_batches(spark)
     fixed_splits(spark)
     plain = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    shards = shard_count(spark, ENTRY * plain.count())
+    total = plain.count()
+    shards = shard_count(spark, ENTRY * total)
     fitting = plain.select("key", "html").where(F.octet_length("html").between(1, SAMPLE_BYTES))
     sampled = hashed_sample(fitting, F.col("key"), SAMPLE).select("html")
     dictionary = train_dictionary([r[0].encode() for r in sampled.collect()])
@@ -232,7 +233,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         for seq, table in chunks(batches, "html"):
             yield from pa.Table.from_pylist(Payloads(table, least, shards).requests(task, seq, stamp(table, "key", "html")), request).to_batches()
 
-    replies = write_replies(answered(plain.select("key", "html").mapInArrow(asks, REQUEST), F.col("shard"), shards, _firsts, REPLY), "payloads", shards)
+    replies = write_replies(answered(plain.select("key", "html").mapInArrow(asks, REQUEST), F.col("shard"), shards, _firsts, REPLY), "payloads", ENTRY * total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
