@@ -78,16 +78,19 @@ class WordTokens:
             parts.append(np.array([*found, END], np.uint32))
         return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
-    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in a row, number of ids of each)."""
+    def flat(self, words: list[str], again: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each); words that stand ``again`` in the texts are remembered."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = [w for w in words if w not in known]
+        found = [known.get(w) for w in words]
+        new = [i for i, ids in enumerate(found) if ids is None]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        found = [known[w] for w in words]
+            for j, e in zip(part, self.tokenizer.encode_batch_fast([words[j] for j in part], add_special_tokens=False), strict=True):
+                found[j] = e.ids
+                if again[j]:
+                    known[words[j]] = found[j]
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
@@ -126,7 +129,7 @@ def tokenize(column: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarr
     if not tokens.by_word:
         return tokens.whole(column)
     words, ids, at = words_in(*parted(column))
-    flat, counts = tokens.flat(words.to_pylist())
+    flat, counts = tokens.flat(words.to_pylist(), (np.bincount(ids, minlength=len(words)) > 1).tolist())
     starts = np.concatenate([[0], np.cumsum(counts)])
     flat, counts = np.append(flat, np.uint32(END)), np.append(counts, 1)
     ids = np.insert(ids, at[1:], len(words))
