@@ -192,7 +192,7 @@ def answered(requests: DataFrame, group: Column, groups: int, answer: Callable[[
 
 
 def write_replies(replies: DataFrame, tag: str, size: int) -> str:
-    """Stores look-up results for ``read_replies``, about one file for each ``SHARD_BYTES`` of ``size``; those to a task lie in one file, sorted."""
+    """Stores look-up results for ``read_replies``, about one file for each ``SHARD_BYTES`` of ``size`` (what they are expected to hold); those to a task lie in one file, sorted."""
     spark = replies.sparkSession
     parts = max(1, -(-size // SHARD_BYTES))
     path = scratch_path(spark, f"{tag}-{parts}")

@@ -200,11 +200,11 @@ def scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             yield from pa.Table.from_pylist(grams.requests((TRIPLES,), task, seq, mark), request_schema).to_batches()
 
     asked = plain.mapInArrow(asks, REQUEST)
-    coarse = write_replies(answered(asked, F.col("kind") * shards + F.col("shard"), 2 * shards, _add, REPLY), "counts", 2 * total)
+    coarse = write_replies(answered(asked, F.col("kind") * shards + F.col("shard"), 2 * shards, _add, REPLY), "counts", total)
     stored = spark.read.schema(REPLY).parquet(coarse)
     distinct, tokens = (x or 0 for x in stored.where(F.col("kind") == WORDS).agg(F.sum("n_distinct"), F.sum("n_tokens")).first())
     whole = tokens + added * (distinct + 1)
-    fine = write_replies(answered(plain.mapInArrow(asks_triples, REQUEST), F.col("shard"), shards, _add, REPLY), "triples", 2 * total)
+    fine = write_replies(answered(plain.mapInArrow(asks_triples, REQUEST), F.col("shard"), shards, _add, REPLY), "triples", total // 2)
 
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()

@@ -420,8 +420,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     pick_schema = pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     run_schema = pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("seq", pa.int32()), ("stamp", pa.int64()), *[(c, pa.binary()) for c in ("bytes", "sizes", "starts", "ids", "deals", "copies")]])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    counted = write_replies(answered(plain.mapInArrow(asks, PICKS), F.col("shard"), shards, _counted, PICK_REPLY), "picks", total)
-    found = write_replies(answered(plain.mapInArrow(sends, RUNS), F.col("shard"), sorters, lambda table: _sorted(table, length, folder), RUN_REPLY), "spans", total)
+    counted = write_replies(answered(plain.mapInArrow(asks, PICKS), F.col("shard"), shards, _counted, PICK_REPLY), "picks", total // 16)
+    found = write_replies(answered(plain.mapInArrow(sends, RUNS), F.col("shard"), sorters, lambda table: _sorted(table, length, folder), RUN_REPLY), "spans", total // 16)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept string" * keep
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
